@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, packing, secrets, url_filter
+from . import decontamination, exact_dedup, language_id, licenses, near_dedup, packing, pii, secrets, toxicity, url_filter
 from .common import table
 
 
@@ -10,6 +10,22 @@ def op1_secrets(spark, sf_dir):
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op2_decontamination(spark, sf_dir):
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op3_language_id(spark, sf_dir):
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
+def op4_licenses(spark, sf_dir):
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op5_near_dedup(spark, sf_dir):
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
+
+
 def op6_url_filter(spark, sf_dir):
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
 
@@ -22,6 +38,14 @@ def op8_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark, sf_dir):
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_pii(spark, sf_dir):
+    return pii.scan_pii(table(spark, sf_dir, "documents"))
+
+
 OP8_SQL = """
 with d as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as norm from documents),
 g as (select norm, max(doc_id) as keep_id, count(*) as group_size from d group by norm)
@@ -29,7 +53,7 @@ select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(norm) as te
 
 
 def queries():
-    return {f.__name__: f for f in (op1_secrets, op6_url_filter, op7_packing, op8_exact_dedup)}
+    return {f.__name__: f for f in (op1_secrets, op2_decontamination, op3_language_id, op4_licenses, op5_near_dedup, op6_url_filter, op7_packing, op8_exact_dedup, op9_toxicity, op10_pii)}
 
 
 def oracle_sql():
