@@ -151,7 +151,7 @@ class DuckTable(DataSource):
         from pyspark.sql.pandas.types import from_arrow_schema
 
         with duckdb.connect(self.options["path"], read_only=True) as c:
-            return from_arrow_schema(c.execute(f"select * from {self._sql()} limit 0").fetch_arrow_table().schema)
+            return from_arrow_schema(c.execute(f"select * from {self._sql()} limit 0").to_arrow_table().schema)
 
     def reader(self, schema: T.StructType) -> DataSourceReader:
         return DuckReader(self.options["path"], self._sql(), int(self.options.get("rows", "500000")))
@@ -172,7 +172,7 @@ class DuckReader(DataSourceReader):
         import duckdb
 
         with duckdb.connect(self.path, read_only=True) as c:
-            yield from c.execute(f"select * from {self.sql} limit {self.rows} offset {partition.value}").fetch_arrow_table().to_batches()
+            yield from c.execute(f"select * from {self.sql} limit {self.rows} offset {partition.value}").to_arrow_table().to_batches()
 
 
 def register(spark: SparkSession) -> None:
