@@ -149,9 +149,11 @@ class Table:
     columns: dict[str, dict] = field(default_factory=dict)
 
 
-def column(spark: SparkSession, spec: dict, s: Stream, row: Column, sizes: dict[str, int]) -> Column:
+def column(spark: SparkSession, spec: dict, s: Stream, row: Column, sizes: dict[str, int], tables: dict[str, Table] | None = None) -> Column:
     """The Column of a strategy: constant, sequence, choice, weighted_enum, uniform, distribution, uuid, pattern, string, temporal,
-    foreign_key, self_reference, lifecycle, correlated, formula; null_rate may accompany any."""
+    foreign_key, self_reference, lifecycle, correlated, formula, parent (a column of the row a key points to), record (a field of a
+    record drawn by an anchor), hierarchy (level by level), conditional (by another column's value), nested (list, struct, map);
+    null_rate may accompany any."""
     kind, u = spec["strategy"], s.uniform(row)
     if kind == "constant":
         out = F.lit(spec["value"])
@@ -194,6 +196,42 @@ def column(spark: SparkSession, spec: dict, s: Stream, row: Column, sizes: dict[
         base = F.col(spec["column"])
         out = {"multiply": base * (0.3 + 0.4 * u), "add": base + 10 * u, "subtract": F.greatest(F.lit(0.0), base - 10 * u)}[spec.get("how", "multiply")]
         out = F.rint(out * 100) / 100
+    elif kind == "parent":
+        # any row's value can be computed where it is needed, so no join
+        at, of = (F.col(spec["key"]) - spec.get("start", 1)) / spec.get("step", 1), (tables or {})[spec["parent"]].columns[spec["column"]]
+        out = F.when(F.col(spec["key"]).isNotNull(), column(spark, of, Stream(s.seed, spec["parent"], spec["column"]), at.cast("long"), sizes, tables))
+    elif kind == "record":
+        # fields of one anchor come from the same record
+        at = F.floor(Stream(s.seed, s.table, spec["anchor"]).uniform(row) * len(spec["records"])).cast("int")
+        out = F.get(F.array(*[F.lit(r[spec["field"]]) for r in spec["records"]]), at)
+    elif kind == "hierarchy":
+        # {value: (weight, {value: ...})}: the level's value, drawn below the value drawn at the level above
+        def below(tree: dict, level: int) -> Column:
+            u = Stream(s.seed, s.table, spec["anchor"]).uniform(row, f"level{level}")
+            name = pick(u, list(tree), [w for w, _ in tree.values()])
+            if level == spec["level"]:
+                return name
+            out = None
+            for value, (_, inner) in tree.items():
+                deeper = below(inner, level + 1) if inner else F.lit(None).cast("string")
+                out = F.when(name == value, deeper) if out is None else out.when(name == value, deeper)
+            return out
+
+        out = below(spec["tree"], 0)
+    elif kind == "conditional":
+        out = None
+        for value, shares in spec["table"].items():
+            drawn = pick(u, list(shares), list(shares.values()))
+            out = F.when(F.col(spec["column"]) == value, drawn) if out is None else out.when(F.col(spec["column"]) == value, drawn)
+    elif kind == "nested":
+        inside = lambda name, of, at: column(spark, of, Stream(s.seed, s.table, f"{s.column}.{name}"), at, sizes, tables)
+        if spec["kind"] == "struct":
+            out = F.struct(*[inside(n, of, row).alias(n) for n, of in spec["fields"].items()])
+        else:
+            n = F.floor(s.uniform(row, "length") * (spec.get("max", 5) + 1)).cast("int")
+            at = F.filter(F.sequence(F.lit(0), F.lit(spec.get("max", 5))), lambda k: k < n)
+            values = F.transform(at, lambda k: inside("value", spec["of"], F.xxhash64(row, k)))
+            out = values if spec["kind"] == "list" else F.map_from_arrays(F.transform(at, lambda k: F.concat(F.lit("k"), k.cast("string"))), values)
     elif kind == "formula":
         from ..plans.formula import compiled
 
@@ -213,11 +251,30 @@ def generate(spark: SparkSession, tables: list[Table], seed: int = 42, partition
         df = spark.range(offset, offset + t.rows, 1, partitions) if partitions else spark.range(offset, offset + t.rows)
         df = df.withColumnRenamed("id", "_row")
         for name, spec in t.columns.items():
-            df = df.withColumn(name, column(spark, spec, Stream(seed, t.name, name), F.col("_row"), sizes))
+            df = df.withColumn(name, column(spark, spec, Stream(seed, t.name, name), F.col("_row"), sizes, {x.name: x for x in tables}))
         out[t.name] = df.drop("_row")
     return out
 
 
+def batches(spark: SparkSession, tables: list[Table], days: int, seed: int = 42):
+    """One dict of frames for each day: new rows continue the old ones, and keys reach back to all rows so far."""
+    for day in range(days):
+        so_far = {t.name: t.rows * (day + 1) for t in tables}
+        out = {}
+        for t in tables:
+            df = spark.range(day * t.rows, (day + 1) * t.rows).withColumnRenamed("id", "_row")
+            for name, spec in t.columns.items():
+                df = df.withColumn(name, column(spark, spec, Stream(seed, t.name, name), F.col("_row"), so_far, {x.name: x for x in tables}))
+            out[t.name] = df.drop("_row")
+        yield out
+
+
+def rank_in_parent(df: DataFrame, fk: str, order: list[str]) -> DataFrame:
+    """Children with their ordinal and whether they are the first of their parent."""
+    n = F.row_number().over(Window.partitionBy(fk).orderBy(*order))
+    return df.withColumn("ordinal", n - 1).withColumn("is_first", n == 1)
+
+
 def bootstrap(df: DataFrame, key: str, rows: int, seed: int = 42) -> DataFrame:
     """Rows of df drawn with replacement: draws of row numbers joined to the numbered rows."""
     from .relational import dense_numbers

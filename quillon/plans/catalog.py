@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, numbers, text
-from ..operators import chaos, compare, generate, joint, privacy, profile, quality, relational, resolve, univariate, windows
+from ..operators import chaos, compare, generate, joint, multivariate, privacy, profile, quality, relational, resolve, sampling, simulate, univariate, windows, zones
 from ..operators.generate import Stream, Table
 from ..operators.quality import Rule
 from ..streaming import windows as streams
@@ -830,6 +830,96 @@ def generated_laws(spark, d):
     return rows.groupBy("family").agg(F.count("x").alias("n"), F.round(F.avg("x"), 3).alias("mean"), F.round(F.stddev_samp("x"), 3).alias("sd"))
 
 
+@query()
+def generated_nested(spark, d):
+    places = [{"city": "Alma", "zip": "01001"}, {"city": "Birk", "zip": "02002"}]
+    tree = {"north": (1.0, {"n1": (1.0, {}), "n2": (2.0, {})}), "south": (3.0, {"s1": (1.0, {})})}
+    spec = [
+        Table("owner", 50, {"owner_id": {"strategy": "sequence"}, "grade": {"strategy": "choice", "values": ["a", "b"]}}),
+        Table("item", 200, {
+            "owner_id": {"strategy": "foreign_key", "parent": "owner"}, "grade": {"strategy": "parent", "parent": "owner", "column": "grade", "key": "owner_id"},
+            "city": {"strategy": "record", "anchor": "place", "records": places, "field": "city"}, "zip": {"strategy": "record", "anchor": "place", "records": places, "field": "zip"},
+            "region": {"strategy": "hierarchy", "anchor": "area", "tree": tree, "level": 0}, "area": {"strategy": "hierarchy", "anchor": "area", "tree": tree, "level": 1},
+            "size": {"strategy": "conditional", "column": "grade", "table": {"a": {"S": 1.0, "M": 1.0}, "b": {"L": 1.0}}},
+            "tags": {"strategy": "nested", "kind": "list", "of": {"strategy": "choice", "values": ["x", "y"]}, "max": 3},
+        }),
+    ]
+    return generate.generate(spark, spec)["item"].withColumn("tags", F.array_join("tags", ","))
+
+
+@query("select 'all' as k, count(*) as n from customer")
+def daily_batches(spark, d):
+    n = t(spark, d, "customer").count()
+    parts = [b["t"] for b in generate.batches(spark, [Table("t", n // 2, {"id": {"strategy": "sequence"}})], 2)]
+    return parts[0].unionByName(parts[1]).agg(F.count_distinct("id").alias("n")).select(F.lit("all").alias("k"), "n")
+
+
+@query("select c_custkey from customer order by c_custkey limit 25")
+def head_sample(spark, d):
+    return sampling.rows(t(spark, d, "customer").select("c_custkey"), "c_custkey", 25, "head")
+
+
+@query("with x as (select c_custkey, row_number() over (order by c_custkey) - 1 as i, greatest(1, count(*) over () // 50) as s from customer) select c_custkey from x where i % s = 0 and i < s * 50")
+def systematic_sample(spark, d):
+    return sampling.rows(t(spark, d, "customer").select("c_custkey"), "c_custkey", 50, "systematic")
+
+
+@query()
+def random_sample(spark, d):
+    return sampling.rows(t(spark, d, "customer").select("c_custkey"), "c_custkey", 50)
+
+
+@query("""with h as (select date '1996-07-04' as d, 'Independence Day' as name union all select date '1996-12-25', 'Christmas Day'), n as (select o_orderdate::date as day, count(*) as n from orders group by 1),
+o as (select month(day) as m, isodow(day) as w, avg(n) as e from n where not exists (select 1 from h where abs(date_diff('day', h.d, day)) <= 3) group by 1, 2)
+select h.name, sum(n.n)::bigint as rows, round(sum(o.e), 6) as expected, round(sum(n.n) / sum(o.e), 6) as lift from h join n on n.day = h.d join o on o.m = month(h.d) and o.w = isodow(h.d) group by 1""")
+def holiday_lift(spark, d):
+    h = spark.sql("select date'1996-07-04' as date, 'Independence Day' as name union all select date'1996-12-25', 'Christmas Day'")
+    return rounded(windows.holiday_lift(t(spark, d, "orders"), "o_orderdate", h))
+
+
+@query("select o_orderkey, 'nonexistent' as kind from orders where o_orderdate >= timestamp '1996-04-07 02:00:00' and o_orderdate < timestamp '1996-04-07 03:00:00' union all select o_orderkey, 'repeated' from orders where o_orderdate >= timestamp '1996-10-27 01:00:00' and o_orderdate < timestamp '1996-10-27 02:00:00'")
+def clock_changes(spark, d):
+    return zones.clock_changes(t(spark, d, "orders"), "o_orderdate", "America/New_York", 1996, 1996).select("o_orderkey", "kind")
+
+
+@query()
+def clickstream(spark, d):
+    return simulate.clickstream(spark, 300).groupBy("state").agg(F.count("*").alias("n"))
+
+
+@query()
+def sensor_readings(spark, d):
+    return rounded(simulate.readings(spark, 5, 200).groupBy("sensor").agg(F.count("*").alias("n"), F.count_if("fault").alias("faults"), F.avg(F.when(~F.col("fault"), F.col("value"))).alias("mean")), 4)
+
+
+@query()
+def payments(spark, d):
+    return simulate.payments(spark, 5000, 50).groupBy("channel").agg(F.count("*").alias("n"), F.count_if("fraud").alias("frauds"))
+
+
+@query()
+def cohorts(spark, d):
+    out = multivariate.cohorts(t(spark, d, "customer"), ["c_acctbal", "c_nationkey"], 3)
+    return out.groupBy("cohort").agg(F.count("*").alias("n"))
+
+
+@query()
+def principal_components(spark, d):
+    shares = multivariate.principal_components(t(spark, d, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"], 2)
+    return spark.createDataFrame([(k, round(v, 4)) for k, v in enumerate(shares)], "component int, share double")
+
+
+@query()
+def dependency_tree(spark, d):
+    tree = joint.dependency_tree(t(spark, d, "lineitem"), ["l_returnflag", "l_linestatus", "l_linenumber"])
+    return spark.createDataFrame([(a, b, round(w, 6)) for a, b, w in tree], "a string, b string, information double")
+
+
+@query("select l_returnflag, l_linestatus, count(*) as n, round(sum(l_quantity), 2) as quantity from lineitem group by cube (l_returnflag, l_linestatus)")
+def cube_extension(spark, d):
+    return rounded(t(spark, d, "lineitem").cube("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("quantity")), 2)
+
+
 @query()
 def bootstrap_sample(spark, d):
     return generate.bootstrap(t(spark, d, "customer").select("c_custkey", "c_acctbal"), "c_custkey", 500)
