@@ -4,15 +4,15 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, bloom_build, bloom_pass, bloom_size, cut, plain
 
 #: Values that a sketch retains.
-RETAINED = 64
+RETAINED = 128
 #: Standard deviations by which an estimate may miss the threshold and still be verified.
-MARGIN = 5.0
+MARGIN = 4.5
 
 
 def let(value: Column, use) -> Column:
@@ -52,10 +52,11 @@ class NearDuplicates:
     Documents of one set are one class, named by its smallest id. A class retains the RETAINED smallest hashes of its
     set. Inverted lists hold each class under the rarest of its retained values only, as many as two classes that link
     must share one of (for sets that are retained whole that is certain, for others up to MARGIN deviations). In each
-    list all are compared with one hub, never with one another: first each class with the hub it meets most often,
-    then with other hubs of other components; only classes that no hub's component holds are then compared with the
-    other components of their lists, less those whose distances to the hub rule a link out by the triangle
-    inequality. The estimate from the union of two sketches filters pairs; the full sets decide.
+    list all are compared with one hub, never with one another; the hub is the class with the fewest values of its own,
+    the likeliest original of a group of copies. First each class meets the hub that it shares most lists with, then
+    its other hubs of other components; only classes that are still in no hub's component are compared with the other
+    components of their lists, by an exact index of the full sets of those lists alone. The estimate from the union of
+    two sketches filters pairs; the full sets decide.
     """
 
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, words: int, percent: int):
@@ -69,12 +70,16 @@ class NearDuplicates:
 
     def lists(self) -> DataFrame:
         """(v, rep, hub): the inverted lists, of values that more than one class retains."""
-        posted = self.classes.select("rep", "n", F.size("sketch").alias("size"), F.explode("sketch").alias("v"))
-        shared = posted.groupBy("v").agg(F.count("*").alias("c"), F.min("rep").alias("hub")).where("c > 1")
+        posted = self.classes.select("rep", "n", F.explode("sketch").alias("v"))
+        shared = posted.groupBy("v").agg(F.count("*").alias("c")).where("c > 1")
+        size = F.least("n", F.lit(RETAINED))
         must = F.when(F.col("n") <= self.t * RETAINED, F.ceil(F.col("n") * self.percent / 100)).otherwise(math.floor(self.low * RETAINED))
-        held = posted.join(shared, "v").groupBy("rep", "n", "size").agg(F.sort_array(F.collect_list(F.struct("c", "v", "hub"))).alias("held"))
-        prefix = F.col("size") - must + 1 - (F.col("size") - F.size("held"))
-        return held.where(prefix > 0).select("rep", F.explode(F.slice("held", 1, F.greatest(prefix, F.lit(1)).cast("int"))).alias("x")).select("x.v", "rep", "x.hub")
+        held = posted.join(shared, "v").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("c", "v"))).alias("held")).withColumn("single", size - F.size("held"))
+        prefix = (size - must + 1 - F.col("single")).cast("int")
+        listed = held.where(prefix > 0).select("rep", "single", F.explode(F.slice("held", 1, F.greatest(prefix, F.lit(1)))).alias("x"))
+        listed = cut(listed.select("x.v", "rep", "single"))
+        hubs = listed.groupBy("v").agg(F.count("*").alias("c"), F.min(F.struct("single", "rep")).alias("x")).where("c > 1").select("v", F.col("x.rep").alias("hub"))
+        return listed.drop("single").join(hubs, "v")
 
     def estimate(self, pairs: DataFrame) -> DataFrame:
         """pairs (a, b) with est, exact: the similarity by the sketch of the union."""
@@ -114,12 +119,11 @@ class NearDuplicates:
         best = stars.groupBy("rep").agg(F.max(F.struct("n", (-F.col("hub")).alias("hub"))).alias("x")).select(F.col("rep").alias("a"), (-F.col("x.hub")).alias("b"))
         links = self.linked(best)
         lists, split = self.split(lists, links)
-        stars = split.where("rep != hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
-        tried = best.withColumn("tried", F.lit(True))
-        stars = cut(stars.join(tried, ["a", "b"], "left_anti"))
-        if not stars.isEmpty():
-            links = links.unionByName(self.linked(stars))
-            lists, split = self.split(lists.select("v", "rep", "hub"), links)
+        others = split.select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
+        others = cut(others.join(best.withColumn("tried", F.lit(True)), ["a", "b"], "left_anti"))
+        if not others.isEmpty():
+            links = links.unionByName(self.linked(others))
+            lists, split = self.split(lists.drop("c", "c_hub"), links)
         if split.isEmpty():
             return links
         return links.unionByName(self.linked(self.rest(lists, split)))
@@ -129,22 +133,29 @@ class NearDuplicates:
         found = components(links)
         of = lambda x, name: found.select(F.col("node").alias(x), F.col("component").alias(name))
         both = lists.join(of("rep", "c"), "rep", "left").join(of("hub", "c_hub"), "hub", "left")
-        named = cut(both.select("v", "rep", "hub", F.coalesce("c", "rep").alias("c"), F.coalesce("c_hub", "hub").alias("c_hub")))
+        named = cut(both.withColumn("c", F.coalesce("c", "rep")).withColumn("c_hub", F.coalesce("c_hub", "hub")))
         return named, named.where("c != c_hub")
 
     def rest(self, lists: DataFrame, split: DataFrame) -> DataFrame:
-        """Pairs of a list that are in different components, one of them not the hub's, and that may still link."""
-        open_ = cut(lists.join(split.select("v").distinct(), "v", "left_semi"))
-        away = self.estimate(open_.select(F.col("rep").alias("a"), F.col("hub").alias("b")).where("a != b").distinct())
-        share = F.col("common") / F.col("of")
-        slack = F.when(F.col("exact"), 0.0).otherwise(MARGIN * F.sqrt(share * (1 - share) / RETAINED) + 1 / RETAINED)
-        away = away.select(F.col("a").alias("rep"), F.col("b").alias("hub"), F.col("n_a").alias("n"), (share - slack).alias("lo"), (share + slack).alias("hi"))
-        known = cut(open_.join(away, ["rep", "hub"]))
-        one = known.where("c != c_hub").select("v", *[F.col(x).alias(f"{x}_1") for x in ("rep", "c", "n", "lo", "hi")])
-        two = known.select("v", "c_hub", *[F.col(x).alias(f"{x}_2") for x in ("rep", "c", "n", "lo", "hi")])
-        apart = (F.col("c_1") != F.col("c_2")) & ((F.col("c_2") == F.col("c_hub")) | (F.col("rep_1") < F.col("rep_2")))
-        near = (F.col("lo_2") - F.col("hi_1") <= 1 - self.t) & (F.col("lo_1") - F.col("hi_2") <= 1 - self.t) & (100 * F.least("n_1", "n_2") >= self.percent * F.greatest("n_1", "n_2"))
-        return one.join(two, "v").where(apart & near).select(F.least("rep_1", "rep_2").alias("a"), F.greatest("rep_1", "rep_2").alias("b")).distinct()
+        """Pairs in different components that share a list in which one of them is not in the hub's, and may still link.
+
+        The members of such lists are indexed again, by their full sets: ranked rarest first among them, two sets that
+        link share a shingle whose rank on both sides leaves room for all that they must have in common. A copy with
+        too many shingles of its own has no such shingle, so the far members of a group of copies drop out here.
+        """
+        minor = split.select("rep").distinct().withColumn("minor", F.lit(True))
+        members = lists.join(split.select("v").distinct(), "v", "left_semi").select("rep", "c").distinct().join(minor, "rep", "left")
+        sets = self.texts(members.select(F.col("rep").alias("id"))).select(F.col("id").alias("rep"), shingle_set(F.col("text"), self.words).alias("set"))
+        posted = cut(members.join(sets, "rep").select("rep", "c", F.coalesce("minor", F.lit(False)).alias("minor"), F.size("set").alias("n"), F.explode("set").alias("v")))
+        counts = posted.groupBy("v").agg(F.count("*").alias("df"), F.max("minor").alias("asked")).where("df > 1")
+        w = Window.partitionBy("rep")
+        shared = posted.join(counts, "v").withColumn("rank", F.col("n") - F.count("*").over(w) + F.row_number().over(w.orderBy("df", "v")))
+        first = cut(shared.where(F.col("asked") & (F.col("rank") <= F.col("n") - F.ceil(F.col("n") * self.percent / 100) + 1)).select("v", "rep", "c", "minor", "n", "rank"))
+        side = lambda df, x: df.select("v", *[F.col(k).alias(f"{k}_{x}") for k in ("rep", "c", "minor", "n", "rank")])
+        need = F.ceil(self.percent / (100 + self.percent) * (F.col("n_1") + F.col("n_2")) - 1e-9)
+        fits = lambda x: F.col(f"rank_{x}") <= F.col(f"n_{x}") - need + 1
+        apart = (F.col("c_1") != F.col("c_2")) & (~F.col("minor_2") | (F.col("rep_1") < F.col("rep_2")))
+        return side(first.where("minor"), 1).join(side(first, 2), "v").where(apart & fits(1) & fits(2)).select(F.least("rep_1", "rep_2").alias("a"), F.greatest("rep_1", "rep_2").alias("b")).distinct()
 
     def labelled(self) -> DataFrame:
         found = components(self.links())
