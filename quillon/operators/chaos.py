@@ -69,3 +69,25 @@ def schema_damage(df: DataFrame, drop: list[str] = (), rename: dict[str, str] |
 def volume(df: DataFrame, times: int) -> DataFrame:
     """Every row so many times; 0 empties the table."""
     return df.where(F.lit(False)) if times == 0 else df.select("*", F.explode(F.sequence(F.lit(1), F.lit(times))).alias("_n")).drop("_n")
+
+
+def damaged_bytes(data: bytes, kind: str, seed: int = 42) -> bytes:
+    """A file's bytes with one fault: truncate, bom, garbage, encoding."""
+    at = (seed * 2654435761) % max(1, len(data))
+    return {"truncate": data[:at], "bom": b"\xef\xbb\xbf" + data, "garbage": data[:at] + bytes(range(128, 160)) + data[at:], "encoding": data.decode("utf-8", "replace").encode("utf-16")}[kind]
+
+
+def anomalies(df: DataFrame, key: str, time: str, column: str, kind: str, rate: float, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """Spikes, drops, a level shift, a freeze or gaps in a series, over a share of rows, with the answer key."""
+    chosen = Stream(seed, "anomaly", column).uniform(F.col(key)) < rate
+    c = F.col(column)
+    if kind == "gap":
+        return df.where(~chosen), df.where(chosen).select(F.col(key).alias("id"), F.lit(kind).alias("kind"))
+    if kind == "shift":
+        start = df.agg(F.percentile_approx(F.unix_micros(F.col(time).cast("timestamp")), 1 - rate).alias("s"), F.stddev_samp(column).alias("d")).first()
+        chosen = F.unix_micros(F.col(time).cast("timestamp")) > (start["s"] or 0)
+        value = c + 5 * (start["d"] or 1.0)
+    else:
+        value = {"spike": c * 10, "drop": c * 0.0, "freeze": F.lit(0.0) + df.agg(F.avg(column)).first()[0]}[kind]
+    out = df.withColumn(column, F.when(chosen, value).otherwise(c))
+    return out, df.where(chosen).select(F.col(key).alias("id"), F.lit(kind).alias("kind"))

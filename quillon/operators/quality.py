@@ -126,3 +126,25 @@ def slice_gaps(scores: DataFrame) -> DataFrame:
 
 def anomaly_rate(df: DataFrame, flag_col: str, expected: float, tolerance: float) -> DataFrame:
     return df.agg(F.avg(F.col(flag_col).cast("double")).alias("rate")).withColumn("ok", F.abs(F.col("rate") - expected) <= tolerance)
+
+
+def repair(df: DataFrame, column: str, low: float | None, high: float | None, key: str, seed: int = 42) -> DataFrame:
+    """Values outside the bounds are drawn anew within them, by the key's hash; types stay and nulls pass."""
+    from .generate import Stream
+
+    c, dtype = F.col(column), dict(df.dtypes)[column]
+    broken = F.lit(False)
+    broken = broken | (c < low) if low is not None else broken
+    broken = broken | (c > high) if high is not None else broken
+    u = Stream(seed, "repair", column).uniform(F.col(key))
+    if low is not None and high is not None:
+        drawn = F.lit(float(low)) + u * (high - low)
+    else:
+        drawn = F.lit(float(low if low is not None else high))
+    return df.withColumn(column, F.when(F.coalesce(broken, F.lit(False)), drawn.cast(dtype)).otherwise(c))
+
+
+def repair_order(df: DataFrame, first: str, second: str) -> DataFrame:
+    """Rows in which second comes before first get both swapped."""
+    bad = F.coalesce(F.col(second) < F.col(first), F.lit(False))
+    return df.withColumns({first: F.when(bad, F.col(second)).otherwise(F.col(first)), second: F.when(bad, F.col(first)).otherwise(F.col(second))})

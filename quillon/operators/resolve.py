@@ -100,3 +100,29 @@ def most_similar(scored: DataFrame) -> DataFrame:
     """Each row's best partner."""
     both = scored.unionByName(scored.select(F.col("b").alias("a"), F.col("a").alias("b"), "score"))
     return both.withColumn("n", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("score"), "b"))).where("n = 1").drop("n")
+
+
+def center_clusters(scored: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(id, center): within each component pairs are taken by falling score; the first end of a pair becomes a centre.
+
+    A row that isn't assigned joins its partner's centre. Components are worked through one by one.
+    """
+    import pandas as pd
+
+    edges = scored.where(F.col("score") >= threshold)
+    of = connected(edges).withColumnRenamed("id", "a")
+
+    def assign(pairs: pd.DataFrame) -> pd.DataFrame:
+        center: dict[int, int] = {}
+        for a, b, _ in sorted(pairs[["a", "b", "score"]].itertuples(index=False), key=lambda p: (-p[2], p[0], p[1])):
+            if a not in center and b not in center:
+                center[a] = center[b] = a
+            elif a in center and center[a] == a:
+                center.setdefault(b, a)
+            elif b in center and center[b] == b:
+                center.setdefault(a, b)
+        for x in {*pairs["a"], *pairs["b"]}:
+            center.setdefault(x, x)
+        return pd.DataFrame({"id": list(center), "center": list(center.values())})
+
+    return edges.join(of, "a").groupBy("component").applyInPandas(assign, "id long, center long")

@@ -168,3 +168,19 @@ def sessions(df: DataFrame, by: list[str], time: str, gap: str) -> DataFrame:
     t = F.unix_micros(F.col(time).cast("timestamp"))
     new = F.coalesce((t - F.lag(t).over(w)) >= microseconds(gap), F.lit(True)).cast("int")
     return df.withColumn("_new", new).withColumn("session", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+
+
+def periodicity(df: DataFrame, value: str, time: str, periods: list[int], by: list[str] | None = None) -> DataFrame:
+    """Power of a series at given periods (in steps), over its variance: by..., period, power. Sums of sines, in one aggregation."""
+    import math
+
+    by = by or []
+    rows = df.select(*by, F.col(time).alias("t"), finite(F.col(value)).alias("x")).where("x is not null")
+    w = Window.partitionBy(*by)
+    rows = rows.withColumn("e", F.col("x") - F.avg("x").over(w)).withColumn("k", F.row_number().over(w.orderBy("t")) - 1)
+    aggs = [F.sum(F.col("e") * F.col("e")).alias("s"), F.count("*").alias("n")]
+    for p in periods:
+        angle = F.col("k") * (2 * math.pi / p)
+        aggs += [F.sum(F.col("e") * F.cos(angle)).alias(f"c{p}"), F.sum(F.col("e") * F.sin(angle)).alias(f"d{p}")]
+    power = lambda p: F.coalesce(F.try_divide(2 * (F.col(f"c{p}") ** 2 + F.col(f"d{p}") ** 2), F.col("n") * F.col("s")), F.lit(0.0))
+    return rows.groupBy(*by).agg(*aggs).select(*by, F.explode(F.array(*[F.struct(F.lit(p).alias("period"), power(p).alias("power")) for p in periods])).alias("x")).select(*by, "x.*")
