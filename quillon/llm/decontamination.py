@@ -107,5 +107,5 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, that hold no item's passage."""
-    found = contaminated(docs, items, id_col, text_col).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(found, F.col(id_col).eqNullSafe(F.col("_id")), "left_anti")
+    found = contaminated(docs, items, id_col, text_col).select(F.col("doc_id").alias("_quillon_id")).distinct()
+    return docs.join(found, F.col(id_col).eqNullSafe(F.col("_quillon_id")), "left_anti")

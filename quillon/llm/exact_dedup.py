@@ -124,8 +124,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, that exact_duplicates keeps."""
-    kept = exact_duplicates(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    marked = docs.withColumn("_text_sha", F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), 256))
-    joined = marked.join(kept, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_text_sha") == F.col("_sha")))
-    once = Window.partitionBy("_id", "_sha").orderBy(F.lit(1))
-    return joined.withColumn("_n", F.row_number().over(once)).where("_n = 1").select(*docs.columns)
+    kept = exact_duplicates(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("_quillon_id"), F.col("text_sha256").alias("_quillon_sha"))
+    marked = docs.withColumn("_quillon_text", F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), 256))
+    joined = marked.join(kept, F.col(id_col).eqNullSafe(F.col("_quillon_id")) & (F.col("_quillon_text") == F.col("_quillon_sha")))
+    once = Window.partitionBy("_quillon_id", "_quillon_sha").orderBy(F.lit(1))
+    return joined.withColumn("_quillon_n", F.row_number().over(once)).where("_quillon_n = 1").select(*docs.columns)
