@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .common import BROADCAST_ROWS, bloom_build, bloom_pass, bloom_size, cut, plain, small
 from .near_dedup import let
 
-WORDS, SIMILARITY, RADIUS = 5, 0.8, 12
+WORDS, SIMILARITY, RADIUS = 5, 0.8, 18
 #: Bits of a fingerprint, and the places of its three 21-bit counters in one long.
 BITS, LANES = 63, 1 | 1 << 21 | 1 << 42
 
@@ -39,7 +39,7 @@ def weight(shingles: Column) -> Column:
 
 
 def simhash(words: Column) -> Column:
-    """63 bits: the majority of the hashes of words and of pairs of words. Three 21-bit counters are summed at a time."""
+    """63 bits: the majority of the hashes of the words. Three 21-bit counters are summed at a time."""
 
     def counted(k: int):
         return lambda a, x: a + F.shiftrightunsigned(x, k).bitwiseAND(F.lit(LANES))
@@ -52,7 +52,7 @@ def simhash(words: Column) -> Column:
             out = bits if out is None else out.bitwiseOR(bits)
         return out
 
-    return let(let(words, lambda w: F.concat(grams(w, 1), grams(w, 2))), vote)
+    return let(grams(words, 1), vote)
 
 
 def blocks(fingerprint: Column, radius: int = RADIUS) -> Column:
@@ -88,17 +88,18 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     held = named.join(begun.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id"))).select("doc_id", words_of(F.col("text")).alias("words"), "begun")
     inside = lambda b: F.struct(F.greatest(F.lit(0), F.least(b["start"], F.size("words") - b["length"])).alias("start"), b["length"].alias("length"))
     windows = held.where(F.size("words") >= WORDS).select("doc_id", "words", F.explode(F.array_distinct(F.transform("begun", inside))).alias("b"))
-    windows = windows.select("doc_id", F.col("b.start").alias("start"), F.slice("words", F.col("b.start") + 1, F.col("b.length")).alias("words"))
-    windows = cut(windows.select("doc_id", "start", F.size("words").alias("n"), weighed(F.col("words")).alias("held"), simhash(F.col("words")).alias("own")))
+    windows = windows.select("doc_id", F.col("b.start").alias("start"), F.col("b.length").alias("length"), F.slice("words", F.col("b.start") + 1, F.col("b.length")).alias("words"))
+    windows = cut(windows.select("doc_id", "start", "length", F.size("words").alias("n"), weighed(F.col("words")).alias("held"), simhash(F.col("words")).alias("own")))
 
-    keyed = bench.select("item_id", "print", F.explode(blocks(F.col("print"), radius)).alias("b")).select("item_id", "print", "b.*")
-    near = windows.select("doc_id", "start", "n", "own", F.explode(blocks(F.col("own"), radius)).alias("b")).select("doc_id", "start", "n", "own", "b.*")
-    near = near.join(small(keyed), ["block", "bits"]).where(F.bit_count(F.col("own").bitwiseXOR(F.col("print"))) <= radius)
-    near = near.select("doc_id", "start", "n", "item_id").distinct()
+    # a window has the length of the items that it may hold
+    keyed = bench.select("item_id", "length", "print", F.explode(blocks(F.col("print"), radius)).alias("b")).select("item_id", "length", "print", "b.*")
+    near = windows.select("doc_id", "start", "n", "length", "own", F.explode(blocks(F.col("own"), radius)).alias("b")).select("doc_id", "start", "n", "length", "own", "b.*")
+    near = near.join(small(keyed), ["length", "block", "bits"]).where(F.bit_count(F.col("own").bitwiseXOR(F.col("print"))) <= radius)
+    near = near.select("doc_id", "start", "n", "length", "item_id").distinct()
 
     of = small(bench.select("item_id", "shingles"), 5_000)
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("start") == F.col("_start")) & (F.col("n") == F.col("_n"))
-    pairs = near.join(windows.select(F.col("doc_id").alias("_id"), F.col("start").alias("_start"), F.col("n").alias("_n"), "held"), same).join(of, "item_id")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("start") == F.col("_start")) & (F.col("length") == F.col("_length"))
+    pairs = near.join(windows.select(F.col("doc_id").alias("_id"), F.col("start").alias("_start"), F.col("length").alias("_length"), "held"), same).join(of, "item_id")
     share = weight(F.array_intersect("shingles", "held")) / weight(F.col("shingles"))
     scored = pairs.select("doc_id", "item_id", "start", "n", share.alias("similarity")).where(F.col("similarity") >= similarity)
     best = scored.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"), "n")).alias("x"))

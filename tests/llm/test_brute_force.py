@@ -166,7 +166,7 @@ def test_fingerprint_blocks_meet_within_the_radius(spark):
     for _ in range(300):
         a = rng.getrandbits(63)
         b = a
-        for k in rng.sample(range(63), 12):
+        for k in rng.sample(range(63), decontamination.RADIUS):
             b ^= 1 << k
         pairs.append((a, b))
     df = spark.createDataFrame(pairs, "a bigint, b bigint")
