@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.guards import NUMERIC, TEMPORAL, finite, pearson, ratio
+from ..functions.guards import NUMERIC, finite, pearson, ratio
 from ..functions.text import PATTERNS, shape
 
 GRID = [0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99]

@@ -102,7 +102,7 @@ def period_totals(df: DataFrame, time: str, unit: str, value: str, by: list[str]
 
 
 def temporal_evidence(df: DataFrame, time: str, arrival: str) -> DataFrame:
-    """count, first, last, out_of_order and median absolute gap in the order of arrival, per hour of nothing: one row.
+    """count, first, last, out_of_order and median absolute gap, in the order of arrival: one row.
 
     The lag runs within ranges of the arrival order; each range's last time goes to the next as one row.
     """
