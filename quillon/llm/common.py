@@ -77,3 +77,8 @@ def bloom_pass(df: DataFrame, h: str, bloom: DataFrame, blocks: int) -> DataFram
         .where(F.col("bloom_bits").bitwiseAND(mask) == mask)
         .drop("bloom_block", "bloom_bits")
     )
+
+
+def drawn(key: Column, share: Column | float) -> Column:
+    """True for about that share of keys, chosen by their hash alone: a sample that no task has to gather or sort."""
+    return F.pmod(F.xxhash64(key, F.lit(23)), F.lit(1 << 30)) < F.lit(float(1 << 30)) * share

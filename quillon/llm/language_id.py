@@ -8,12 +8,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import plain
+from .common import drawn, plain, small
 
-#: Bounds of the training sample: documents of each language, passages of each document, characters of each passage.
+#: The training sample: about how many documents of each language, passages of each document, characters of each passage.
 SAMPLE_DOCS, SAMPLE_PASSAGES, SAMPLE_CHARS = 300, 4, 96
 #: Bytes that the network reads in one go, states of each direction, windows that are computed together.
 WINDOW, STATES, TOGETHER = 96, 12, 1536
@@ -163,15 +163,12 @@ def held_out(mod: int = 5, rest: int = 0):
 
 
 def sample(docs: DataFrame) -> list[tuple[bytes, str]]:
-    """Passages of a bounded number of labelled documents of each language, chosen by a hash of the id."""
+    """Passages of about SAMPLE_DOCS labelled documents of each language, chosen by a hash of the id."""
     named = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
-    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = [r["doc_id"] for r in named.select("doc_id", "lang").withColumn("n", F.row_number().over(by_hash)).where(F.col("n") <= SAMPLE_DOCS).select("doc_id").distinct().collect()]
-    if not ids:
-        return []
+    share = small(named.groupBy("lang").agg((SAMPLE_DOCS / F.count("*")).alias("share")))
     start = lambda k: F.pmod(F.xxhash64("doc_id", F.lit(k)), F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0)) + 1).cast("int") + 1
     cuts = F.array(*[F.substring(F.col("text"), start(k), F.lit(SAMPLE_CHARS)) for k in range(SAMPLE_PASSAGES)])
-    rows = named.where(F.col("doc_id").isin(ids)).select("doc_id", "lang", cuts.alias("cuts")).collect()
+    rows = named.join(share, "lang").where(drawn(F.col("doc_id"), F.col("share"))).select("lang", cuts.alias("cuts")).collect()
     return sorted((t.encode(), r["lang"]) for r in rows for t in r["cuts"] or [] if t and LETTER.search(t))
 
 

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import plain
+from .common import drawn, plain
 
 # The base kinds in the order of ties, and their patterns.
 KINDS = ["email", "ip", "card", "phone"]
@@ -26,7 +26,7 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 NODE = re.compile(r"[^\s@<>()\[\],;:|\"]+(?:@|\s?[\[(](?:at|AT)[\])]\s?)[^\s@<>()\[\],;:|\"]+|\+?[0-9(][0-9().\x20/-]*[0-9]")
 DIGITS = re.compile(r"[0-9]")
 LABELS = ["none", *KINDS]
-#: Training: documents with nodes that are learned from, steps; rounds of message passing.
+#: Training: about how many documents with nodes are learned from, steps; rounds of message passing.
 SAMPLE, STEPS, ROUNDS = 4000, 300, 6
 N_FEATURES = 256
 
@@ -201,8 +201,9 @@ def scan_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     have a marginal of a half or more. Null text counts as empty; repeated rows are scanned alike.
     """
     rows = plain(docs, doc_id=F.col(id_col).cast("long"), text=F.coalesce(F.col(text_col), F.lit("")))
-    marked = rows.where(F.col("text").rlike(r"@|[0-9]{3}[0-9().\x20/-]{3,}[0-9]")).withColumn("h", F.xxhash64("doc_id", F.length("text")))
-    learned = marked.orderBy("h").limit(SAMPLE).select("h", "text").where(F.length("text") > 0)
+    marked = rows.where(F.col("text").rlike(r"@|[0-9]{3}[0-9().\x20/-]{3,}[0-9]"))
+    share = min(1.0, SAMPLE / max(1, marked.count()))
+    learned = marked.select(F.xxhash64("doc_id", F.length("text")).alias("h"), "text").where(drawn(F.col("h"), share))
     passages = learned.mapInPandas(_nodes, "h long, node binary").collect()
     return rows.mapInPandas(scanner(fit(_documents(passages))), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
 

@@ -10,10 +10,10 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, plain, small
+from .common import cut, drawn, plain, small
 
 # Letters that a character may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l", "(": "c", "<": "c", "*": "aeiou"}
@@ -23,7 +23,7 @@ ALPHABET = "abcdefghijklmnopqrstuvwxyz"
 EDGE = 0
 #: No word is longer, disguised or not; what is stays as it is.
 LONGEST = 80
-#: Documents of label 0 and 1 that the classifier is fitted on, terms it may use; steps of the fit and its penalty.
+#: About how many documents of label 0 and 1 the classifier is fitted on, terms it may use; steps of the fit and its penalty.
 SAMPLE, TERMS, ROUNDS, PENALTY = (6000, 3000), 400, 500, 0.0001
 #: A term is telling by itself from so many toxic documents and that share of them among all that have it.
 TELLING, SURE = 15, 0.97
@@ -181,9 +181,8 @@ def learn(rows: DataFrame, labels: DataFrame, model: CharacterModel) -> Classifi
     total = {r["toxic"]: r["n"] for r in ids.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(total) < 2:
         return Classifier({}, 3.0 if total.get(1) else -3.0, {})
-    by_hash = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    most = F.when(F.col("toxic") == 1, SAMPLE[1]).otherwise(SAMPLE[0])
-    picked = cut(ids.withColumn("n", F.row_number().over(by_hash)).where((F.col("n") <= max(SAMPLE)) & (F.col("n") <= most)).select("doc_id", "toxic"))
+    share = F.when(F.col("toxic") == 1, SAMPLE[1] / total[1]).otherwise(SAMPLE[0] / total[0])
+    picked = cut(ids.where(drawn(F.col("doc_id"), share)))
     texts = rows.join(small(picked), "doc_id").select(F.monotonically_increasing_id().alias("row"), "toxic", "text")
     listed = cut(texts.mapInPandas(term_lister(model), "row long, toxic int, terms array<string>"))
     n = {r["toxic"]: r["n"] for r in listed.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
