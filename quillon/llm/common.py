@@ -34,6 +34,14 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def short_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """df, after making sure that Arrow hands so many rows at most to a Python worker at once: texts can be long."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(key)) <= rows:
+        df.sparkSession.conf.set(key, str(rows))
+    return df
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z lower-cased and nothing else; Spark's lower() does the same, faster, where all is ASCII."""
     return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(F.translate(c, ascii_uppercase, ascii_lowercase))

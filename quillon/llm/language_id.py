@@ -11,12 +11,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drawn, plain, small
+from .common import drawn, plain, short_batches, small
 
 #: The training sample: about how many documents of each language, passages of each document, characters of each passage.
 SAMPLE_DOCS, SAMPLE_PASSAGES, SAMPLE_CHARS = 300, 4, 96
 #: Bytes that the network reads in one go, states of each direction, windows that are computed together.
-WINDOW, STATES, TOGETHER = 96, 12, 1536
+WINDOW, STATES, TOGETHER = 96, 12, 1024
 LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -142,8 +142,8 @@ def pooled(net: Network, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def predictor(net: Network | None):
     def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for lo in range(0, len(batch), 512):  # bounds the bytes that are held at once
-                rows = batch.iloc[lo : lo + 512]
+            for lo in range(0, len(batch), 256):  # bounds the bytes that are held at once
+                rows = batch.iloc[lo : lo + 256]
                 texts = [t if t is not None and LETTER.search(t) else None for t in rows["text"]]
                 out = pd.DataFrame({"doc_id": rows["doc_id"].astype("Int64"), "held_out": rows["held_out"], "lang_pred": "und", "score": 0.0, "position_share": 0.0})
                 told = np.array([t is not None for t in texts])
@@ -182,7 +182,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     """
     rows = plain(docs, doc_id=F.col(id_col).cast("long"), text=text_col, lang=lang_col)
     net = train(sample(rows))
-    return rows.select("doc_id", "text", held_out().alias("held_out")).mapInPandas(predictor(net), "doc_id long, held_out boolean, lang_pred string, score double, position_share double")
+    return short_batches(rows.select("doc_id", "text", held_out().alias("held_out"))).mapInPandas(predictor(net), "doc_id long, held_out boolean, lang_pred string, score double, position_share double")
 
 
 def keep_identified(docs: DataFrame, least: float, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -191,13 +191,12 @@ def keep_identified(docs: DataFrame, least: float, id_col: str = "doc_id", text_
 
     def kept(batches):
         for batch in batches:
-            texts = batch.column(text_col).to_pylist()
-            for lo in range(0, len(texts), 512):
-                part = [t if t is not None and LETTER.search(t) else None for t in texts[lo : lo + 512]]
+            for lo in range(0, batch.num_rows, 256):
+                part = [t if t is not None and LETTER.search(t) else None for t in batch.slice(lo, 256).column(text_col).to_pylist()]
                 sure = np.zeros(len(part), bool)
                 told = np.array([t is not None for t in part])
                 if net is not None and told.any():
                     sure[told] = pooled(net, [t.encode() for t in part if t is not None])[0].max(0) >= least
                 yield batch.slice(lo, len(part)).filter(sure)
 
-    return docs.mapInArrow(kept, docs.schema)
+    return short_batches(docs).mapInArrow(kept, docs.schema)

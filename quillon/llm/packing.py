@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, plain, small
+from .common import cut, plain, short_batches, small
 
 END_OF_DOCUMENT = 2
 PIECE = "doc_id long, piece int, start long, length int, ids_crc32 long"
@@ -144,7 +144,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     `capacity` numbers); each piece finds its place by its rank among those of its length.
     """
     rows = plain(docs, doc_id=F.col(id_col).cast("long"), text=F.coalesce(F.col(text_col), F.lit("")))
-    made = cut(rows.mapInPandas(pieces(capacity, vocabulary, ranks, with_ids), PIECE + ", ids array<int>" * with_ids))
+    made = cut(short_batches(rows).mapInPandas(pieces(capacity, vocabulary, ranks, with_ids), PIECE + ", ids array<int>" * with_ids))
     buckets = max(16, made.count() // 200_000)
     made = made.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)).cast("int"))
     shares = cut(made.groupBy("length", "bucket").agg(F.count("*").alias("n")))

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drawn, plain
+from .common import drawn, plain, short_batches
 
 # The base kinds in the order of ties, and their patterns.
 KINDS = ["email", "ip", "card", "phone"]
@@ -204,7 +204,7 @@ def scan_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     marked = rows.where(F.col("text").rlike(r"@|[0-9]{3}[0-9().\x20/-]{3,}[0-9]"))
     share = min(1.0, SAMPLE / max(1, marked.count()))
     learned = marked.select(F.xxhash64("doc_id", F.length("text")).alias("h"), "text").where(drawn(F.col("h"), share))
-    passages = learned.mapInPandas(_nodes, "h long, node binary").collect()
+    passages = short_batches(learned).mapInPandas(_nodes, "h long, node binary").collect()
     return rows.mapInPandas(scanner(fit(_documents(passages))), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
 
 

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drawn, plain, small
+from .common import cut, drawn, plain, short_batches, small
 
 # Letters that a character may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l", "(": "c", "<": "c", "*": "aeiou"}
@@ -127,7 +127,7 @@ def trigrams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def character_model(texts: DataFrame) -> CharacterModel:
     counts = np.zeros((len(ALPHABET) + 1) ** 3, np.int64)
-    for r in texts.mapInPandas(trigrams, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():
+    for r in short_batches(texts).mapInPandas(trigrams, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():
         counts[r["gram"]] = r["n"]
     return CharacterModel(counts)
 
