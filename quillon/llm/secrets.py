@@ -77,7 +77,8 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     by_owner = each.groupBy("h", "owner", "repository").agg(F.lit(1).alias("one")).groupBy("h", "owner").agg(F.count("*").alias("repositories"))
     spread = by_owner.groupBy("h").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"))
     verdict = spread.select("h", ((F.col("owners") <= MOST_OWNERS) & (F.col("repositories") <= MOST_REPOSITORIES)).alias("live"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    judged = each.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")).join(verdict, ["h", "salt"])
+    # never broadcast: what is salted here grows with the corpus
+    judged = each.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")).join(verdict.hint("merge"), ["h", "salt"])
     live = F.col("live")
     by_row = judged.groupBy("row").agg(
         F.collect_list(F.when(live & (F.col("s.kind") >= len(BASE)), F.col("s"))).alias("kept"),
