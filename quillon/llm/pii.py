@@ -25,6 +25,8 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: What the field labels: addresses with @ or a spelt-out one, and runs of digits with what may stand between them.
 NODE = re.compile(r"[^\s@<>()\[\],;:|\"]+(?:@|\s?[\[(](?:at|AT)[\])]\s?)[^\s@<>()\[\],;:|\"]+|\+?[0-9(][0-9().\x20/-]*[0-9]")
 DIGITS = re.compile(r"[0-9]")
+#: What a text has at least if it has a node.
+MAY = re.compile(r"@|[\[(](?:at|AT)[\])]|[0-9](?:[().\x20/-]*[0-9]){6}")
 LABELS = ["none", *KINDS]
 #: Training: about how many documents with nodes are learned from, steps; rounds of message passing.
 SAMPLE, STEPS, ROUNDS = 4000, 300, 6
@@ -167,7 +169,7 @@ def told(spans: list[tuple[int, int, int]]) -> str:
 def found(text: str, field: Field) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """Base spans, and those that the field adds: likelier personal than not, and clear of the base spans."""
     base = base_spans(text)
-    nodes = nodes_of(text, base) if base or "at" in text and ("(at)" in text or "[at]" in text) else []
+    nodes = nodes_of(text, base) if MAY.search(text) else []
     if not any(not n.base for n in nodes):
         return base, []
     p = field.marginals(nodes)

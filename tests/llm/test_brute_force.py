@@ -246,6 +246,16 @@ def test_repeated_mentions_agree():
     assert [(pii.KINDS[k], text[a:b]) for a, k, b in more] == [("phone", "555 010-7777")]
 
 
+def test_the_field_labels_documents_without_base_spans():
+    """Every text with a node is labelled, whether or not a pattern finds anything in it."""
+    unary = np.zeros((pii.N_FEATURES, len(pii.LABELS)))
+    unary[pii.bucket("bias"), 4] = 9.0
+    field = pii.Field(unary, np.zeros((5, 5)), np.zeros((5, 5)))
+    for text in ("john [at] example.com", "john [AT] example.com", "john (AT) example.com", "call 555 010-7777 now", "a@b", "(1)2 3/4.5-6 7"):
+        assert pii.nodes_of(text, []) and pii.found(text, field)[0] == [] and len(pii.found(text, field)[1]) == 1, text
+    assert pii.found("call 555 010 now, at 10", field) == ([], [])
+
+
 def test_language_on_held_out_documents(spark, docs):
     truth = {r["doc_id"]: r["lang"] for r in docs.collect()}
     out = [r for r in language_id.identify(docs).collect() if r["held_out"]]
