@@ -12,6 +12,8 @@ from .common import ascii_lower, bloom_build, bloom_pass, bloom_size, plain, sma
 # The rules of the contract, and a list of canonical URLs that are blocked where no rule speaks.
 RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
 LISTED = ["ads-track.example.com/", "casino-win.example.com/", "cheap-pills.example.com/", "free-bets.example.com/"]
+#: Default ports of schemes.
+PORTS = {"http": "80", "https": "443", "ws": "80", "wss": "443", "ftp": "21"}
 
 
 def judge_urls(pages: DataFrame, rules: list[tuple[str, str]] = RULES, listed: list[str] = LISTED, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -20,7 +22,8 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]] = RULES, listed: l
     Host: after the first :// up to /, ?, # or the end, A-Z lower-cased; path: from there up to ?, # or the end; both
     empty for a null url or one without ://. A rule fits its host and all subdomains if the path starts with its own;
     the longest wins (of equal ones, the first in order of text). Where none fits, a url under a listed canonical URL
-    is blocked and any other allowed. Repeated, empty and null urls are judged alike, one row for each input row.
+    is blocked and any other allowed; for that alone, user info, the scheme's default port and a final dot are taken
+    off the host, and an empty path is /. Repeated, empty and null urls are judged alike, one row for each input row.
 
     Every host suffix and path prefix that a rule or listed URL could have is tried against the filter; what passes is
     joined exactly. Each distinct url is judged once, so a hot one costs one row.
@@ -33,18 +36,27 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]] = RULES, listed: l
     )
     entries = [(rule, action, False) for action, rule in rules] + [(x, "block", True) for x in listed]
     parts = [(x[0].partition("/")[0], x[0][len(x[0].partition("/")[0]) :]) for x in entries]
-    shapes = sorted({(len(host.split(".")), len(path)) for host, path in parts})
+    shapes = sorted({(len(host.split(".")), len(path), x[2]) for (host, path), x in zip(parts, entries, strict=True)})
     known = spark.createDataFrame(entries, "entry string, action string, listed boolean").withColumn("h", F.xxhash64("entry"))
 
-    labels = F.split("host", r"\.", -1)
-    tried = [
-        F.when((F.size(labels) >= k) & (F.length("path") >= n), F.concat(F.array_join(F.slice(labels, -k, k), "."), F.substring("path", 1, n)))
-        for k, n in shapes
-    ]
-    keys = rows.select("url", "host", "path").distinct().select("url", F.explode(F.array_compact(F.array(*tried))).alias("entry")).withColumn("h", F.xxhash64("entry"))
+    scheme = ascii_lower(F.regexp_extract("url", r"(?s)^.*?([A-Za-z0-9+.-]*)://", 1))
+    port = F.coalesce(*[F.when(scheme == k, F.lit(n)) for k, n in PORTS.items()], F.lit(""))
+    bare = F.regexp_replace("host", r"(?s)^.*@", "")
+    said = F.regexp_extract(bare, r":0*([1-9][0-9]*|0)$", 1)  # empty if there is none
+    bare = F.when((said == "") | (said == port), F.regexp_replace(bare, r":[0-9]*$", "")).otherwise(bare)
+    canonical = {"host": F.regexp_replace(bare, r"\.$", ""), "path": F.when((F.col("path") == "") & (F.col("host") != ""), F.lit("/")).otherwise(F.col("path"))}
+    urls = rows.select("url", "host", "path").distinct().select("*", canonical["host"].alias("listed_host"), canonical["path"].alias("listed_path"))
+
+    def tried(k: int, n: int, of_list: bool):
+        host, path = ("listed_host", "listed_path") if of_list else ("host", "path")
+        labels = F.split(host, r"\.", -1)
+        key = F.struct(F.concat(F.array_join(F.slice(labels, -k, k), "."), F.substring(path, 1, n)).alias("entry"), F.lit(of_list).alias("listed"))
+        return F.when((F.size(labels) >= k) & (F.length(path) >= n), key)
+
+    keys = urls.select("url", F.explode(F.array_compact(F.array(*[tried(*x) for x in shapes]))).alias("x")).select("url", "x.*").withColumn("h", F.xxhash64("entry"))
     blocks = bloom_size(len(entries))
     may = bloom_pass(keys, "h", bloom_build(known, "h", blocks), blocks)
-    hits = may.join(small(known.drop("h")), "entry")
+    hits = may.join(small(known.drop("h")), ["entry", "listed"])
     rank = lambda keep: F.max(F.when(keep, F.struct(F.length("entry").alias("n"), (-F.ascii("entry")).alias("o"), "entry", "action")))
     judged = hits.groupBy("url").agg(rank(~F.col("listed")).alias("rule"), F.max("listed").alias("listed"))
     verdict = F.coalesce(F.col("rule.action"), F.when(F.col("listed"), F.lit("block")), F.lit("allow"))

@@ -331,3 +331,16 @@ def test_url_rules(spark):
     assert out[7] == ("free-bets.example.com", "/", None, "block")
     assert out[8][2:] == ("com/en/", "block") and out[9] == ("org", "/es/", "org/es/", "block") and out[10][:2] == ("h", "")
     assert out[11][:2] == ("example.com", "/en/7")
+
+
+def test_listed_urls_are_looked_up_in_canonical_form(spark):
+    blocked = ["http://free-bets.example.com", "http://free-bets.example.com?x=1", "http://free-bets.example.com#f", "http://free-bets.example.com:80/", "https://a.FREE-bets.example.com:443/x", "http://free-bets.example.com:/", "http://u:p@free-bets.example.com/", "http://u@x@free-bets.example.com.:080", "http://free-bets.example.com./y"]
+    allowed = ["http://free-bets.example.com:8080/", "http://free-bets.example.com:443/", "http://free-bets.example.com@other.org/", "http://not-free-bets.example.com", "free-bets.example.com/", "http://", "http://:80", "http://free-bets.example.com:0/"]
+    rows = spark.createDataFrame(list(enumerate(blocked + allowed)), "page_id bigint, url string")
+    out = {r["page_id"]: r for r in url_filter.judge_urls(rows).collect()}
+    assert [out[k]["verdict"] for k in range(len(out))] == ["block"] * len(blocked) + ["allow"] * len(allowed)
+    assert all(r["rule"] is None for r in out.values())
+    assert (out[0]["host"], out[0]["path"]) == ("free-bets.example.com", "") and out[7]["host"] == "u@x@free-bets.example.com.:080"
+    ruled = spark.createDataFrame([(1, "http://example.com.:80/en/7"), (2, "http://u@x.com")], "page_id bigint, url string")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.judge_urls(ruled, rules=[("block", "example.com/en/7"), ("block", "x.com/")], listed=["y.com/"]).collect()}
+    assert got == {1: (None, "allow"), 2: (None, "allow")}
