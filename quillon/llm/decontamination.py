@@ -61,6 +61,12 @@ def blocks(fingerprint: Column, radius: int = RADIUS) -> Column:
     return F.array(*[F.struct(F.lit(k).alias("block"), F.shiftrightunsigned(fingerprint, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)).alias("bits")) for k, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False))])
 
 
+def row_key(id_col: str, text_col: str) -> Column:
+    """Names a row by its id and text (128 bits of hash): rows that share an id, or have none, stay apart."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return F.struct(F.col(id_col).alias("id"), F.xxhash64(text).alias("d1"), F.xxhash64(F.lit(1), text).alias("d2"))
+
+
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """One row per document and item of which it holds a passage: doc_id, item_id, similarity, start, words.
 
@@ -70,11 +76,18 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     A row gives the best window, the first of equals. Items of fewer than five words, or null, match nothing; so do
     null and shorter texts. Rows that share an id (also the missing one) are one document.
     """
+    scored = passages(plain(docs, doc_id=row_key(f"`{id_col}`", f"`{text_col}`"), text=text_col), items, item_col, item_text_col, similarity, radius)
+    best = scored.groupBy("doc_id.id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"), "n")).alias("x"))
+    return best.select(F.col("id").alias("doc_id"), "item_id", F.col("x.similarity").alias("similarity"), (-F.col("x.back")).alias("start"), F.col("x.n").alias("words"))
+
+
+def passages(docs: DataFrame, items: DataFrame, item_col: str, item_text_col: str, similarity: float, radius: int) -> DataFrame:
+    """(doc_id, item_id, start, n, similarity) of the windows of docs (doc_id, text) that reach the similarity; doc_id is a row key."""
     bench = plain(items, item_id=item_col, words=words_of(F.col(item_text_col))).where(F.size("words") >= WORDS)
     bench = cut(bench.select("item_id", F.size("words").alias("length"), grams(F.col("words"), WORDS).alias("grams"), weighed(F.col("words")).alias("shingles"), simhash(F.col("words")).alias("print")))
     anchors = bench.select("length", F.posexplode("grams").alias("at", "h")).distinct()
 
-    texts = plain(docs, doc_id=id_col, words=words_of(F.col(text_col)))
+    texts = plain(docs, doc_id="doc_id", words=words_of(F.col("text")))
     each = texts.select("doc_id", F.posexplode(grams(F.col("words"), WORDS)).alias("pos", "h"))
     n = anchors.count()
     if n > BROADCAST_ROWS:  # too many for a broadcast: a filter of fixed size first, then a shuffle of what passes
@@ -84,7 +97,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     begun = cut(begun.groupBy("doc_id").agg(F.collect_set(F.struct("start", "length")).alias("begun")))
 
     hashes, size = begun.select(F.xxhash64("doc_id").alias("h")), bloom_size(begun.count())
-    named = bloom_pass(plain(docs, doc_id=id_col, text=text_col).withColumn("h", F.xxhash64("doc_id")), "h", bloom_build(hashes, "h", size), size)
+    named = bloom_pass(docs.withColumn("h", F.xxhash64("doc_id")), "h", bloom_build(hashes, "h", size), size)
     held = named.join(begun.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id"))).select("doc_id", words_of(F.col("text")).alias("words"), "begun")
     inside = lambda b: F.struct(F.greatest(F.lit(0), F.least(b["start"], F.size("words") - b["length"])).alias("start"), b["length"].alias("length"))
     windows = held.where(F.size("words") >= WORDS).select("doc_id", "words", F.explode(F.array_distinct(F.transform("begun", inside))).alias("b"))
@@ -101,12 +114,11 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("start") == F.col("_start")) & (F.col("length") == F.col("_length"))
     pairs = near.join(windows.select(F.col("doc_id").alias("_id"), F.col("start").alias("_start"), F.col("length").alias("_length"), "held"), same).join(of, "item_id")
     share = weight(F.array_intersect("shingles", "held")) / weight(F.col("shingles"))
-    scored = pairs.select("doc_id", "item_id", "start", "n", share.alias("similarity")).where(F.col("similarity") >= similarity)
-    best = scored.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"), "n")).alias("x"))
-    return best.select("doc_id", "item_id", F.col("x.similarity").alias("similarity"), (-F.col("x.back")).alias("start"), F.col("x.n").alias("words"))
+    return pairs.select("doc_id", "item_id", "start", "n", share.alias("similarity")).where(F.col("similarity") >= similarity)
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, that hold no item's passage."""
-    found = contaminated(docs, items, id_col, text_col).select(F.col("doc_id").alias("_quillon_id")).distinct()
-    return docs.join(found, F.col(id_col).eqNullSafe(F.col("_quillon_id")), "left_anti")
+    """The rows of docs, with all their columns, that hold no item's passage; each row by itself, whatever its id."""
+    key = row_key(f"`{id_col}`", f"`{text_col}`")
+    found = passages(plain(docs, doc_id=key, text=text_col), items, "item_id", "text", SIMILARITY, RADIUS).select(F.col("doc_id").alias("_quillon_key")).distinct()
+    return docs.join(found, key.eqNullSafe(F.col("_quillon_key")), "left_anti")

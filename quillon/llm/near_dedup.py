@@ -177,6 +177,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs, with all their columns, but one document of each component only."""
-    gone = near_duplicates(docs, id_col, text_col, words, percent).where("not kept").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti")
+    """The rows of docs, with all their columns, but one of each component only, the first by id.
+
+    Rows that share an id but not the text are different documents here. Only where there are such rows, documents are
+    named by a 64-bit hash of id and text, as shingles are by theirs; else by their ids.
+    """
+    doc_id, key = F.col(f"`{id_col}`"), F.xxhash64(f"`{id_col}`", F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
+    if docs.where(doc_id.isNotNull()).groupBy(doc_id).agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        gone = near_duplicates(docs, id_col, text_col, words, percent).where("not kept").select(F.col("doc_id").alias("_quillon_id")).distinct()
+        return docs.join(gone, doc_id == F.col("_quillon_id"), "left_anti")
+    named = plain(docs, doc_id=id_col, key=F.when(doc_id.isNotNull(), key), text=text_col)
+    found = near_duplicates(named, "key", "text", words, percent).where("component_id is not null").select(F.col("doc_id").alias("key"), "component_id").distinct()
+    sized = cut(named.where("key is not null").select("doc_id", "key").distinct().join(found, "key"))
+    first = sized.groupBy("component_id").agg(F.min(F.struct("doc_id", "key")).alias("x")).select(F.col("x.key").alias("key"))
+    gone = sized.join(first, "key", "left_anti").select(F.col("key").alias("_quillon_key"))
+    return docs.join(gone, doc_id.isNotNull() & (key == F.col("_quillon_key")), "left_anti")

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quillon.llm import queries
+from quillon.llm import decontamination, near_dedup, queries
 
 LONG = "lorem ipsum dolor sit amet " * 8000
 ROWS = [
@@ -95,3 +95,19 @@ def test_stages(spark, full, empty):
     assert {r["doc_id"] for r in corpus_pipeline.drop_benchmark_passages(spark, docs, full).collect()} == {None, 3, 4, 5, 6, 7, 8, 9}
     assert corpus_pipeline.run(spark, empty).count() == 0
     assert corpus_pipeline.run(spark, full).where("piece = 0").count() == 4
+
+
+def test_stages_judge_each_row_by_its_own_text(spark):
+    """Rows that share an id, or have none, don't fall together."""
+    words = lambda x, n: " ".join(f"{x}{k}" for k in range(n))
+    near, passage = words("a", 40), words("p", 20)
+    rows = [(0, near), (1, words("u", 40)), (1, near + " more"), (5, near + " once more"), (None, "before it " + passage), (None, words("v", 40)), (7, passage + " after"), (7, words("w", 40)), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    items = spark.createDataFrame([(1, passage)], "item_id bigint, text string")
+    told = lambda df: sorted(map(str, df.collect()))
+    want = lambda *gone: told(spark.createDataFrame([r for k, r in enumerate(rows) if k not in gone], docs.schema))
+    assert told(near_dedup.drop_near_duplicates(docs)) == want(2, 3)
+    assert told(decontamination.drop_contaminated(docs, items)) == want(4, 6)
+    assert sorted((r["doc_id"] or -1, r["start"]) for r in decontamination.contaminated(docs, items).collect()) == [(-1, 2), (7, 0)]
+    alone = docs.where("doc_id is null or doc_id in (0, 5)")
+    assert told(near_dedup.drop_near_duplicates(alone)) == want(1, 2, 3, 6, 7)
