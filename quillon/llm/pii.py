@@ -28,8 +28,10 @@ DIGITS = re.compile(r"[0-9]")
 #: What a text has at least if it has a node.
 MAY = re.compile(r"@|[\[(](?:at|AT)[\])]|[0-9](?:[().\x20/-]*[0-9]){6}")
 LABELS = ["none", *KINDS]
-#: Training: about how many documents with nodes are learned from, steps; rounds of message passing.
-SAMPLE, STEPS, ROUNDS = 4000, 300, 6
+#: Training: about how many documents with nodes are learned from, steps.
+SAMPLE, STEPS = 4000, 300
+#: Messages are passed until none changes by more.
+SETTLED = 1e-4
 N_FEATURES = 256
 
 
@@ -123,13 +125,16 @@ class Field:
             potential = np.array([p for _, _, p in pairs] + [p.T for _, _, p in pairs])
             back = np.r_[len(pairs) : 2 * len(pairs), : len(pairs)]
             messages = np.zeros((len(ways), len(LABELS)))
-            for _ in range(ROUNDS):
+            for _ in range(4 * len(nodes) + 40):  # damped messages go a link in two rounds; those that never settle end here
                 belief = own.copy()
                 np.add.at(belief, ways[:, 1], messages)
                 sent = (belief[ways[:, 0]] - messages[back])[:, :, None] + potential
                 top = sent.max(1)
                 sent = top + np.log(np.exp(sent - top[:, None]).sum(1))
-                messages = 0.5 * messages + 0.5 * (sent - sent.max(1, keepdims=True))
+                change = 0.5 * (sent - sent.max(1, keepdims=True) - messages)
+                messages += change
+                if np.abs(change).max() < SETTLED:
+                    break
             np.add.at(own, ways[:, 1], messages)
         own -= own.max(1, keepdims=True)
         p = np.exp(own)

@@ -256,6 +256,22 @@ def test_the_field_labels_documents_without_base_spans():
     assert pii.found("call 555 010 now, at 10", field) == ([], [])
 
 
+def test_messages_pass_until_they_settle():
+    """On a chain of repeats behind one observed mention, marginals are those of the exact sums, however far."""
+    nodes = [pii.Node(k, k + 1, 4 if k == 0 else 0, "same", []) for k in range(30)]
+    skip = np.full((5, 5), -4.0) + np.diag([3.0, 10, 10, 10, 10])
+    got = pii.Field(np.zeros((pii.N_FEATURES, 5)), np.zeros((5, 5)), skip).marginals(nodes)
+    for k in range(1, len(nodes)):
+        after = np.ones(5)
+        for _ in range(len(nodes) - 1 - k):
+            after = np.exp(skip) @ after / (np.exp(skip) @ after).max()
+        q = np.eye(5)[4]
+        for _ in range(k):
+            q = q @ np.exp(skip) / (q @ np.exp(skip)).max()
+        assert np.allclose(got[k], q * after / (q * after).sum(), atol=1e-3)
+    assert got[:, 4].min() > 0.5
+
+
 def test_language_on_held_out_documents(spark, docs):
     truth = {r["doc_id"]: r["lang"] for r in docs.collect()}
     out = [r for r in language_id.identify(docs).collect() if r["held_out"]]
