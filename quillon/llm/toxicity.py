@@ -21,19 +21,20 @@ LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "
 AS_ITSELF, STANDS_IN, REPEATS, SEPARATES, MEANS_NOTHING = 0.0, -1.5, -0.7, -0.4, -7.0
 ALPHABET = "abcdefghijklmnopqrstuvwxyz"
 EDGE = 0
-#: No word is longer, disguised or not; what is stays as it is.
-LONGEST = 80
+#: Cost of a separator that parts words instead; tokens that a decoder remembers.
+PARTS, REMEMBERED = -1.0, 200_000
 #: About how many documents of label 0 and 1 the classifier is fitted on, terms it may use; steps of the fit and its penalty.
 SAMPLE, TERMS, ROUNDS, PENALTY = (6000, 3000), 400, 500, 0.0001
 #: A term is telling by itself from so many toxic documents and that share of them among all that have it.
 TELLING, SURE = 15, 0.97
 LETTERS = re.compile(r"[^\W\d_]+")
-SPACED = re.compile(r"(?<!\w)(?:[^\W\d_][ ._*-]){3,}[^\W\d_](?!\w)")
-STANDS = re.compile(r"[0-9@$!|+€£(<*]+")
-SPACE = re.compile(r"\s")
-#: A word with a stand-in between letters, before two or more, or one or two after them; a letter three times.
-ODD = re.compile(r"[^\W\d_][0-9@$!|+€£(<*]+[^\W\d_]|^[0-9@$!|+€£(<]{1,2}[^\W\d_]{2}|[^\W\d_]{2}[0-9@$]{1,2}$")
-TRIPLE = re.compile(r"[^\W\d_]*([^\W\d_])\1\1[^\W\d_]*")
+#: Three or more single letters or stand-ins with anything between them.
+SPACED = re.compile(r"(?<![\w@$€£])[\w@$€£!|+(<](?:[^\w@$€£!|+(<]+[\w@$€£!|+(<](?![\w@$€£])){2,}")
+GAP = re.compile(r"[^\w@$€£!|+(<]+")
+#: Stand-ins, letters in a row, separators between letters or stand-ins: a token without any of them is no disguise.
+STANDS = re.compile(r"[0-9@$!|+€£(<*]")
+ROW, TRIPLE = re.compile(r"([^\W\d_])\1"), re.compile(r"([^\W\d_])\1\1")
+INNER = re.compile(r"[\w@$€£][^\w\s]+[\w@$€£]")
 AROUND = ".,;:?\"'%&#~^=/\\[]{}"
 
 
@@ -50,56 +51,62 @@ class CharacterModel:
 
     def decode(self, seen: str) -> str:
         """Viterbi over the lattice of what each character may stand for; a state is the last two letters."""
-        best: dict[tuple[int, int], tuple[float, str]] = {(EDGE, EDGE): (0.0, "")}
+        best: dict[tuple[int, int], tuple[float, tuple]] = {(EDGE, EDGE): (0.0, ())}  # the path so far as (path, letter)
         for k, x in enumerate(seen):
             again = k and seen[k - 1] == x
+            parts = not x.isalnum() and x not in LEET
             if x in ALPHABET:
                 ways = [(ALPHABET.index(x) + 1, x, AS_ITSELF)]
             elif x in LEET:
                 ways = [(ALPHABET.index(c) + 1, c, STANDS_IN) for c in LEET[x]]
             else:
-                ways = [] if x in " ._-" else [(EDGE, x, AS_ITSELF)]
-            after: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (score, word) in best.items():
-                moves = [((b, c), score + cost + self.log[a, b, c], word + s) for c, s, cost in ways]
-                if again or not ways or x not in ALPHABET:
-                    moves.append(((a, b), score + (SEPARATES if not ways else REPEATS if again else MEANS_NOTHING), word))
+                ways = [(EDGE, " " if parts else x, PARTS if parts else AS_ITSELF)]
+            after: dict[tuple[int, int], tuple[float, tuple]] = {}
+            for (a, b), (score, path) in best.items():
+                moves = [((b, c), score + cost + self.log[a, b, c], (path, s)) for c, s, cost in ways if c or b or not parts]
+                if x != "\n" and (again or x not in ALPHABET) or not moves:
+                    moves.append(((a, b), score + (SEPARATES if parts else REPEATS if again else MEANS_NOTHING), path))
                 for state, new, text in moves:
                     if state not in after or after[state][0] < new:
                         after[state] = (new, text)
             best = after
-        return max((score + self.log[a, b, EDGE], word) for (a, b), (score, word) in best.items())[1]
+        path, word = max(((score + (self.log[a, b, EDGE] if b else 0.0), path) for (a, b), (score, path) in best.items()), key=lambda x: x[0])[1], []
+        while path:
+            path, x = path
+            word.append(x)
+        return "".join(reversed(word)).strip()
 
 
 def restorer(model: CharacterModel):
-    """text -> the text with what looks disguised decoded; the rest as it is, lower-cased."""
+    """text -> the text with what may be disguised decoded; the rest as it is, lower-cased.
 
-    @lru_cache(100_000)
+    Where a token of letters may be no disguise (doubled letters, separators), its own words stay beside the decoded.
+    """
+
+    def spaced(m: re.Match) -> str:
+        """Gaps wider than the narrowest part words; whether the others do is for the decoder to say."""
+        least = min(map(len, GAP.findall(m[0])))
+        return f" {decoded(GAP.sub(lambda g: ' ' if len(g[0]) == least else chr(10), m[0]))} "
+
+    @lru_cache(REMEMBERED)
     def decoded(seen: str) -> str:
         return model.decode(seen)
 
+    @lru_cache(REMEMBERED)
+    def read(token: str) -> str:
+        core = token.strip(AROUND)
+        stands = STANDS.search(core)
+        if not (stands or ROW.search(core) or INNER.search(core)):
+            return token
+        ways = [core, core.rstrip("!"), core.strip("(<!*+|)>" + AROUND)] if stands else [core]
+        words = [decoded(x) for x in dict.fromkeys(ways) if x and (x == core or STANDS.search(x) or ROW.search(x) or INNER.search(x))]
+        alone = [x for x in ways if LETTERS.fullmatch(x) and not TRIPLE.search(x)]
+        kept = [token] if INNER.search(core) or not stands and not TRIPLE.search(core) else alone[:1]
+        return " ".join(dict.fromkeys(kept + words))
+
     def restore(text: str) -> str:
-        text = text.lower()
-        text = SPACED.sub(lambda m: decoded(m[0]) if len(m[0]) <= LONGEST else m[0], text)
-        out, done = [], 0
-        for m in STANDS.finditer(text):
-            if m.start() < done:
-                continue
-            start = max(done, text.rfind(" ", done, m.start()) + 1, text.rfind("\n", done, m.start()) + 1)
-            end = space.start() if (space := SPACE.search(text, m.end())) else len(text)
-            token = text[start:end]
-            core = token.strip(AROUND)
-            if core[-1:] == "!":
-                core = core.rstrip("!")
-            if core and len(core) <= LONGEST and ODD.search(core):
-                at = token.find(core)
-                out += [text[done : start + at], decoded(core)]
-                done = start + at + len(core)
-        text = "".join([*out, text[done:]]) if out else text
-        x = np.frombuffer(text.encode(), np.uint8)
-        if len(x) > 2 and ((x[2:] == x[1:-1]) & (x[1:-1] == x[:-2]) & (x[2:] > 96)).any():
-            text = TRIPLE.sub(lambda m: decoded(m[0]) if len(m[0]) <= LONGEST else m[0], text)
-        return text
+        text = SPACED.sub(spaced, text.lower().replace("_", "-"))
+        return " ".join(map(read, text.split()))
 
     return restore
 

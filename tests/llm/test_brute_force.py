@@ -320,6 +320,19 @@ def test_restores_disguised_words(spark):
     assert restore("The quick brown fox") == "the quick brown fox"
 
 
+@pytest.fixture(scope="module")
+def restore(spark):
+    words = "idiot moron stupid loser pathetic trash worthless shit heat kill die tool you are a the quick brown fox " * 50
+    return toxicity.restorer(toxicity.character_model(spark.createDataFrame([(words,)], "text string")))
+
+
+def test_restores_long_disguises(restore):
+    assert restore("y o u a r e a s t u p i d " * 6).split() == ["you", "are", "a", "stupid"] * 6
+    assert "stupid" in restore("stu" + "u" * 100 + "pid").split() and "idiot" in restore("1-d-1-0-t." * 20)
+    assert restore("s t u p i d   l o s e r").split() == ["stupid", "loser"]
+    assert len(restore("1d10t" * 4000)) > 4000  # linear
+
+
 def test_licences(spark):
     text = "Prose about a licence.\nReleased under the MIT License.\nMore prose."
     df = spark.createDataFrame([(1, text), (2, "Licensed under CC BY-NC 4.0."), (3, "nothing"), (4, None), (5, licenses.MIT_BODY.replace(", ", ",\n"))], "doc_id bigint, text string")
