@@ -333,6 +333,11 @@ def test_restores_long_disguises(restore):
     assert len(restore("1d10t" * 4000)) > 4000  # linear
 
 
+def test_restores_every_plain_disguise(restore):
+    for seen, meant in [("5h17", "shit"), ("h347", "heat"), ("k!11", "kill"), ("d13", "die"), ("700l", "tool"), ("1 d 1 0 t", "idiot"), ("s t u p 1 d", "stupid"), ("i  d  i  o  t", "idiot"), ("s/t/u/p/i/d", "stupid"), ("s--t--u--p--i--d", "stupid"), ("iiddiioott", "idiot"), ("(1d10t!)", "idiot")]:
+        assert meant in restore(f"the {seen} fox").split(), (seen, restore(f"the {seen} fox"))
+
+
 def test_licences(spark):
     text = "Prose about a licence.\nReleased under the MIT License.\nMore prose."
     df = spark.createDataFrame([(1, text), (2, "Licensed under CC BY-NC 4.0."), (3, "nothing"), (4, None), (5, licenses.MIT_BODY.replace(", ", ",\n"))], "doc_id bigint, text string")
