@@ -65,8 +65,10 @@ def telling(templates: list[tuple[str, str]], dice: float) -> list[str]:
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: list[tuple[str, str]] = TEMPLATES, dice: float = DICE) -> DataFrame:
     """One row per input row and licence found in it: doc_id, license, dice, n_places.
 
-    Lines, paragraphs and the whole text are compared, lower-cased and without punctuation, each place once; dice is
-    that of the best place, n_places how many reach the limit. A place is compared only with templates of a size with
+    Lines, paragraphs, the whole text, and windows of as many words as a template has, wherever a bigram that they share
+    puts its beginning, are compared, lower-cased and without punctuation, each place once; dice is that of the best
+    place, n_places how many lines, paragraphs and texts reach the limit, or how many windows that don't overlap, if
+    those are more. Of overlapping windows the one with the highest coefficient counts. A place is compared only with templates of a size with
     which the coefficient can reach the limit, and only if it has a word without which none can; it counts for the
     licences with the highest coefficient only. Null, empty and
     unrelated texts give no row; repeated rows give theirs each.
@@ -88,8 +90,33 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             found.append(F.when(fits, F.struct(F.lit(name).alias("license"), score.alias("dice"))))
         return let(F.filter(F.array(*found), lambda x: x.isNotNull() & (x["dice"] >= dice)), lambda f: F.filter(f, lambda x: x["dice"] == F.array_max(F.transform(f, lambda y: y["dice"]))))
 
+    def windows(words: Column) -> Column:
+        """(dice, start, end, license) of the windows that reach the limit and don't overlap a better one."""
+        ordered = [(name, [f"{x} {y}" for x, y in zip(w, w[1:], strict=False)]) for name, w in ((n, re.findall(r"[^\W_]+", t.lower())) for n, t in templates)]
+        every = sorted({b for _, own in ordered for b in own})
+
+        def of(b: Column, at: Column, name: str, own: list[str]) -> Column:
+            distinct, place = F.array(*map(F.lit, sorted(set(own)))), F.array(*map(F.lit, own))
+            last = F.greatest(F.lit(0), F.size(b) - len(own))
+            begun = lambda i: F.greatest(F.lit(0), F.least(last, (i - F.array_position(place, F.get(b, i)) + 1).cast("int")))
+            starts = F.array_distinct(F.transform(F.filter(at, lambda i: F.get(b, i).isin(own)), begun))
+            score = lambda i: let(F.array_distinct(F.slice(b, i + 1, len(own))), lambda x: 2 * F.size(F.array_intersect(x, distinct)) / (F.size(x) + len(set(own))))
+            scored = F.transform(starts, lambda i: F.struct(score(i).alias("dice"), i.alias("start"), (i + len(own) + 1).alias("end"), F.lit(name).alias("license")))
+            return F.filter(scored, lambda x: x["dice"] >= dice)
+
+        def clear(found: Column) -> Column:
+            none = F.array().cast("array<struct<dice:double,start:int,end:int,license:string>>")
+            over = lambda k, x: (k["start"] < x["end"]) & (k["end"] > x["start"]) & ((k["dice"] > x["dice"]) | (k["license"] == x["license"]))
+            return F.aggregate(F.sort_array(found, False), none, lambda kept, x: F.when(F.exists(kept, lambda k: over(k, x)), kept).otherwise(F.concat(kept, F.array(x))))
+
+        grams = let(words, lambda w: F.when(F.size(w) >= 2, F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1)))).otherwise(F.array().cast("array<string>")))
+        seen = lambda b: F.filter(F.sequence(F.lit(0), F.size(b)), lambda i: F.get(b, i).isin(every))
+        return let(grams, lambda b: let(seen(b), lambda at: clear(F.concat(*[of(b, at, *x) for x in ordered]))))
+
     rows = plain(docs, doc_id=id_col, text=text_col).where(F.col("text").rlike(some))
-    hits = rows.select("doc_id", F.filter(F.transform(sets, against), lambda x: F.size(x) > 0).alias("hits")).where(F.size("hits") > 0)
+    hits = rows.select("doc_id", F.filter(F.transform(sets, against), lambda x: F.size(x) > 0).alias("hits"), windows(words_of(F.col("text"))).alias("windows")).where((F.size("hits") > 0) | (F.size("windows") > 0))
     names = F.array(*[F.lit(x) for x in sorted({n for n, _ in templates})])
-    best = F.transform(names, lambda n: F.struct(n.alias("license"), F.array_max(F.transform(F.filter(F.flatten("hits"), lambda x: x["license"] == n), lambda x: x["dice"])).alias("dice"), F.size(F.filter("hits", lambda h: F.exists(h, lambda x: x["license"] == n))).cast("long").alias("n_places")))
+    top = lambda found, n: F.array_max(F.transform(F.filter(found, lambda x: x["license"] == n), lambda x: x["dice"]))
+    places = lambda n: F.greatest(F.size(F.filter("hits", lambda h: F.exists(h, lambda x: x["license"] == n))), F.size(F.filter("windows", lambda x: x["license"] == n)))
+    best = F.transform(names, lambda n: F.struct(n.alias("license"), F.greatest(top(F.flatten("hits"), n), top(F.col("windows"), n)).alias("dice"), places(n).cast("long").alias("n_places")))
     return hits.select("doc_id", F.explode(F.filter(best, lambda x: x["dice"].isNotNull())).alias("x")).select("doc_id", "x.*")

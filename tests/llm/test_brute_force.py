@@ -378,3 +378,12 @@ def test_listed_urls_are_looked_up_in_canonical_form(spark):
     ruled = spark.createDataFrame([(1, "http://example.com.:80/en/7"), (2, "http://u@x.com")], "page_id bigint, url string")
     got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.judge_urls(ruled, rules=[("block", "example.com/en/7"), ("block", "x.com/")], listed=["y.com/"]).collect()}
     assert got == {1: (None, "allow"), 2: (None, "allow")}
+
+
+def test_licence_notices_inside_longer_text(spark):
+    warranty = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. ' * 2
+    whole = "MIT License Copyright (c) 2020 Jane Doe " + licenses.MIT_BODY + " " + warranty
+    texts = ["Copyright 2020 Jane Doe. Licensed under the MIT License.", "Some words come first. Released under the MIT License. And many more words of prose follow it in this line.", whole, "# " + re.sub(r"((?:\S+ ){9})", r"\1\n# ", whole),
+        "First words. This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License. Then more words.", "nothing of the MIT kind is licensed here", None]
+    out = sorted((r["doc_id"], r["license"], r["n_places"]) for r in licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect())
+    assert out == [(0, "MIT", 1), (1, "MIT", 1), (2, "MIT", 1), (3, "MIT", 1), (4, "CC-BY-NC-4.0", 1)]
