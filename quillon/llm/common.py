@@ -34,6 +34,17 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """df written to the shared folder, and its rows."""
+    df = cut(df)
+    return df, df.count()
+
+
+def bounded(df: DataFrame, rows: int) -> DataFrame:
+    """df, known to have so many rows at most, with a broadcast hint if those are few."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
 def short_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
     """df, after making sure that Arrow hands so many rows at most to a Python worker at once: texts can be long."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -52,6 +63,16 @@ def plain(df: DataFrame, **columns: str | Column) -> DataFrame:
     return df.select(*[(F.col(f"`{c}`") if isinstance(c, str) else c).alias(k) for k, c in columns.items()])
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with value computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def row_names(text: Column) -> dict[str, Column]:
+    """128 bits of hash that name a text."""
+    return {"t1": F.xxhash64(text), "t2": F.xxhash64(F.lit(1), text)}
+
+
 def bloom_block(h: Column, blocks: int) -> Column:
     return F.pmod(h, F.lit(blocks)).cast("int")
 

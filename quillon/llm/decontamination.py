@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, bloom_build, bloom_pass, bloom_size, cut, plain, small
-from .near_dedup import let
+from .common import BROADCAST_ROWS, bloom_build, bloom_pass, bloom_size, cut, let, plain, small
 
 WORDS, SIMILARITY, RADIUS = 5, 0.8, 18
 #: Bits of a fingerprint, and the places of its three 21-bit counters in one long.

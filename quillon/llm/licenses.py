@@ -8,9 +8,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import plain
+from .common import let, plain
 from .decontamination import words_of
-from .near_dedup import let
 
 DICE = 0.8
 MIT_BODY = (

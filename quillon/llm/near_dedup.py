@@ -2,30 +2,152 @@
 
 from __future__ import annotations
 
-import math
+import hashlib
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, bloom_build, bloom_pass, bloom_size, cut, plain
+from .common import BROADCAST_ROWS, bloom_build, bloom_pass, bloom_size, bounded, counted, cut, plain, row_names, small
 
-#: Values that a sketch retains.
-RETAINED = 128
-#: Standard deviations by which an estimate may miss the threshold and still be verified.
-MARGIN = 4.5
+#: Bytes of text that are hashed together, shingles that are counted together.
+TOGETHER, CHUNK = 1 << 18, 1 << 21
+#: A value that so many sketches retain is common. Common values come last in the order of all values, and only so many
+#: of them, the commonest, are told to the workers. The order decides what is compared first, never the result.
+COMMON, MOST_COMMON = 16, 200_000
+#: Lists up to CLOSE are compared pair by pair; of lists up to PAIRED, members that are not in their hub's component are.
+CLOSE, PAIRED = 6, 64
 
 
-def let(value: Column, use) -> Column:
-    """use(value) with value computed once."""
-    return F.transform(F.array(value), use)[0]
+SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+ONE, GOLDEN = np.uint64(1), np.uint64(0x9E3779B97F4A7C15)
 
 
-def shingle_set(text: Column, words: int) -> Column:
-    """Sorted distinct 64-bit hashes of the shingles; a shorter text is one shingle, one without words none."""
-    split = F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+", -1), "")
-    shingles = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - words), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(words)]))
-    none = F.array().cast("array<bigint>")
-    return let(split, lambda w: F.when(F.size(w) >= words, F.sort_array(F.array_distinct(shingles(w)))).when(F.size(w) > 0, F.array(F.xxhash64(F.lit("short"), w))).otherwise(none))
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+BYTES = mixed(np.arange(1, 257, dtype=np.uint64) * GOLDEN)
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64 bits of each word of the texts, one text after the other, and the number of words before each text and in all."""
+    data = np.frombuffer(b" ".join(texts).lower() + b" ", np.uint8)
+    inside = ~SPACE[data]
+    starts = np.flatnonzero(inside & np.r_[True, ~inside[:-1]])
+    before = np.searchsorted(starts, np.cumsum([0, *(len(t) + 1 for t in texts)]))
+    if not len(starts):
+        return np.empty(0, np.uint64), before
+    letters = np.flatnonzero(inside)
+    first = np.searchsorted(letters, starts)
+    sizes = np.diff(first, append=len(letters))
+    place = (letters - np.repeat(starts, sizes)).astype(np.uint64)
+    return mixed(np.add.reduceat(mixed(BYTES[data[letters]] + place * GOLDEN), first) + sizes.astype(np.uint64)), before
+
+
+def chained(w: np.ndarray, size: int) -> np.ndarray:
+    """63 bits of every run of so many words."""
+    h = np.full(max(0, len(w) - size + 1), size, np.uint64)
+    for k in range(size):
+        h = mixed(h * GOLDEN + w[k : len(w) - size + 1 + k])
+    return (h >> ONE).view(np.int64)
+
+
+def shingle_sets(texts: list[str | None], words: int) -> Iterator[np.ndarray]:
+    """Sorted distinct hashes of each text's shingles; a shorter text is one shingle, one without words none.
+
+    Bytes are split at ASCII white space and A-Z are lower-cased, nothing else is.
+    """
+    held, size = [], 0
+    for k, text in enumerate(texts):
+        held.append((text or "").encode("utf-8", "surrogatepass"))
+        size += len(held[-1])
+        if size < TOGETHER and k < len(texts) - 1:
+            continue
+        w, before = word_hashes(held)
+        h = chained(w, words)
+        for lo, hi in zip(before[:-1], before[1:], strict=True):
+            yield np.unique(h[lo : hi - words + 1]) if hi - lo >= words else chained(w[lo:hi], hi - lo) if hi > lo else np.empty(0, np.int64)
+        held, size = [], 0
+
+
+def retained(n: int, percent: int) -> int:
+    """Of two sets that link, the first so many values of each, in one order of all values, share one."""
+    return n - -(-n * percent // 100) + 1 if n else 0
+
+
+def counter(words: int, percent: int):
+    """Of a partition, the values that the sketches of a chunk of its texts retain more than once, with their counts."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def flush() -> pa.RecordBatch:
+            values, counts = np.unique(np.concatenate(held), return_counts=True)
+            often = counts > 1
+            return pa.RecordBatch.from_arrays([pa.array(values[often]), pa.array(counts[often])], ["v", "n"])
+
+        for batch in batches:
+            for h in shingle_sets(batch.column("text").to_pylist(), words):
+                held.append(h[: retained(len(h), percent)])
+                n += len(held[-1])
+                if n >= CHUNK:
+                    yield flush()
+                    held, n = [], 0
+        if held:
+            yield flush()
+
+    return count
+
+
+def sketcher(words: int, percent: int, common: np.ndarray):
+    """Each row's columns but the text, and of its set the size n, a digest (d1, d2), the retained values (sketch)
+    and how many of those are not common (own).
+
+    The values are in their order: the sign bit is set on all that are not common, so those come first.
+    """
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, owns, digests, sketches = [], [], [], []
+            for h in shingle_sets(batch.column("text").to_pylist(), words):
+                often = common[np.minimum(np.searchsorted(common, h), len(common) - 1)] == h if len(common) else np.zeros(len(h), bool)
+                ordered = np.concatenate((h[~often] | np.int64(-(1 << 63)), h[often]))
+                sizes.append(len(h))
+                owns.append(int((ordered[: retained(len(h), percent)] < 0).sum()))
+                digests.append(np.frombuffer(hashlib.blake2b(h.tobytes(), digest_size=16).digest(), np.int64))
+                sketches.append(ordered[: retained(len(h), percent)])
+            both = np.array(digests, np.int64).reshape(-1, 2)
+            rest = [c for c in batch.schema.names if c != "text"]
+            arrays = [batch.column(c) for c in rest] + [pa.array(sizes, pa.int32()), pa.array(owns, pa.int32()), pa.array(both[:, 0]), pa.array(both[:, 1]), lists(sketches)]
+            yield pa.RecordBatch.from_arrays(arrays, [*rest, "n", "own", "d1", "d2", "sketch"])
+
+    return sketch
+
+
+def setter(words: int):
+    """(cid, text) -> (cid, set), each cid of a partition once."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            new: dict[int, str] = {}
+            for cid, text in zip(batch.column("cid").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                if cid not in seen:
+                    seen.add(cid)
+                    new[cid] = text
+            yield pa.RecordBatch.from_arrays([pa.array(new, pa.int64()), lists([*shingle_sets([*new.values()], words)])], ["cid", "set"])
+
+    return made
+
+
+def lists(arrays: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays) if arrays else np.empty(0, np.int64), pa.int64()))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -38,8 +160,8 @@ def components(edges: DataFrame) -> DataFrame:
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lowest, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(lowest.withColumnRenamed("m", "v"))
-        now = cut(small.where("u != v").distinct())
+        few = large.join(lowest, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(lowest.withColumnRenamed("m", "v"))
+        now = cut(few.where("u != v").distinct())
         if (then := state(now)) == was:
             break
         was = then
@@ -49,146 +171,161 @@ def components(edges: DataFrame) -> DataFrame:
 class NearDuplicates:
     """Links between documents whose sets of word shingles have a Jaccard similarity of percent/100 or more.
 
-    Documents of one set are one class, named by its smallest id. A class retains the RETAINED smallest hashes of its
-    set. Inverted lists hold each class under the rarest of its retained values only, as many as two classes that link
-    must share one of (for sets that are retained whole that is certain, for others up to MARGIN deviations). In each
-    list all are compared with one hub, never with one another; the hub is the class with the fewest values of its own,
-    the likeliest original of a group of copies. First each class meets the hub that it shares most lists with, then
-    its other hubs of other components; only classes that are still in no hub's component are compared with the other
-    components of their lists, by an exact index of the full sets of those lists alone. The estimate from the union of
-    two sketches filters pairs; the full sets decide.
+    Documents of one set are one class. Its sketch retains the first values of the set in one order of all values, by
+    their hash with common ones last: as many as make two classes that link share one for certain. Inverted lists hold
+    the classes under their retained values. In a short list all are compared with each other, in a longer one with its
+    hub, the class with the fewest values that are not common, the likeliest original of a group of copies. Members that
+    are not in their hub's component afterwards are compared with the rest of their list: pair by pair if it is not
+    long, else by an index of the full sets. The two sketches up to the place where both are complete bound how much the
+    sets differ at least; pairs that differ too much go, the full sets of the others decide. No link is lost.
     """
 
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, words: int, percent: int):
-        self.words, self.percent, self.t = words, percent, percent / 100
-        self.docs = plain(docs, doc_id=id_col, text=text_col)
-        self.low = self.t - MARGIN * math.sqrt(self.t * (1 - self.t) / RETAINED)
-        made = let(shingle_set(F.col("text"), words), lambda h: F.struct(F.size(h).alias("n"), F.xxhash64(F.lit(1), h).alias("d1"), F.xxhash64(F.lit(2), h).alias("d2"), F.slice(h, 1, RETAINED).alias("sketch")))
-        self.rows = cut(self.docs.select("doc_id", made.alias("s")).select("doc_id", "s.*"))
-        real = self.rows.where("n > 0 and doc_id is not null")
-        self.classes = cut(real.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("n", "sketch"), "doc_id").alias("s")).select("d1", "d2", "rep", "s.*"))
+        self.words, self.percent = words, percent
+        text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+        self.docs = plain(docs, doc_id=id_col, text=text, **row_names(text))
+        counts = self.docs.select("text").mapInArrow(counter(words, percent), "v long, n long").groupBy("v").agg(F.sum("n").alias("n"))
+        common = np.sort(np.array([r["v"] for r in counts.where(F.col("n") >= COMMON).orderBy(F.desc("n"), "v").limit(MOST_COMMON).collect()], np.int64))
+        kind = self.docs.schema["doc_id"].dataType.simpleString()
+        self.rows = cut(self.docs.mapInArrow(sketcher(words, percent, common), f"doc_id {kind}, t1 long, t2 long, n int, own int, d1 long, d2 long, sketch array<long>"))
+        each = self.rows.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("first"), F.min(F.struct("t1", "t2")).alias("t"), *[F.any_value(c).alias(c) for c in ("n", "own", "sketch")])
+        self.classes = cut(each.select(F.monotonically_increasing_id().alias("cid"), "d1", "d2", "first", "t.*", "n", "own", "sketch"))
 
     def lists(self) -> DataFrame:
-        """(v, rep, hub): the inverted lists, of values that more than one class retains."""
-        posted = self.classes.select("rep", "n", F.explode("sketch").alias("v"))
-        shared = posted.groupBy("v").agg(F.count("*").alias("c")).where("c > 1")
-        size = F.least("n", F.lit(RETAINED))
-        must = F.when(F.col("n") <= self.t * RETAINED, F.ceil(F.col("n") * self.percent / 100)).otherwise(math.floor(self.low * RETAINED))
-        held = posted.join(shared, "v").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("c", "v"))).alias("held")).withColumn("single", size - F.size("held"))
-        prefix = (size - must + 1 - F.col("single")).cast("int")
-        listed = held.where(prefix > 0).select("rep", "single", F.explode(F.slice("held", 1, F.greatest(prefix, F.lit(1)))).alias("x"))
-        listed = cut(listed.select("x.v", "rep", "single"))
-        hubs = listed.groupBy("v").agg(F.count("*").alias("c"), F.min(F.struct("single", "rep")).alias("x")).where("c > 1").select("v", F.col("x.rep").alias("hub"))
-        return listed.drop("single").join(hubs, "v")
-
-    def estimate(self, pairs: DataFrame) -> DataFrame:
-        """pairs (a, b) with est, exact: the similarity by the sketch of the union."""
-        side = lambda x: self.classes.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
-        both = pairs.join(side("a"), "a").join(side("b"), "b")
-        whole = (F.col("n_a") <= RETAINED) & (F.col("n_b") <= RETAINED)
-        union = F.sort_array(F.array_union("s_a", "s_b"))
-        kept = F.when(whole, union).otherwise(F.slice(union, 1, RETAINED))
-        common = F.size(F.array_intersect(kept, F.array_intersect("s_a", "s_b")))
-        return both.select(*pairs.columns, "n_a", "n_b", whole.alias("exact"), common.alias("common"), F.size(kept).alias("of"))
+        """(v, cid, hub, m): the inverted lists of values that more than one class retains; m is the length of the list."""
+        # own counts and class numbers in one long, so that the least of them is found by a hash aggregation
+        key = F.shiftleft(F.least("own", F.lit(127)).cast("long"), 56).bitwiseOR(F.col("cid"))
+        posted = self.classes.select("cid", key.alias("key"), F.explode("sketch").alias("v"))
+        shared = posted.groupBy("v").agg(F.count("*").alias("m"), F.min("key").alias("least")).where("m > 1")
+        return cut(posted.select("v", "cid").join(shared, "v").select("v", "cid", F.col("least").bitwiseAND(F.lit((1 << 56) - 1)).alias("hub"), "m"))
 
     def linked(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) that link."""
-        near = (100 * F.least("n_a", "n_b") >= self.percent * F.greatest("n_a", "n_b")) & F.when(F.col("exact"), 100 * F.col("common") >= self.percent * F.col("of")).otherwise(F.col("common") >= self.low * F.col("of"))
-        likely = cut(self.estimate(pairs).where(near).select("a", "b", "exact"))
-        sure, open_ = likely.where("exact").select("a", "b"), likely.where("not exact").select("a", "b")
-        if open_.isEmpty():
-            return sure.distinct()
-        text_a = self.texts(open_.select(F.col("a").alias("id"))).select(F.col("id").alias("a"), F.col("text").alias("text_a"))
-        set_b = self.texts(open_.select(F.col("b").alias("id"))).select(F.col("id").alias("b"), shingle_set(F.col("text"), self.words).alias("set_b"))
-        both = open_.join(text_a, "a").join(set_b, "b")
-        sizes = let(shingle_set(F.col("text_a"), self.words), lambda h: F.struct(F.size(F.array_intersect(h, "set_b")).alias("common"), F.size(h).alias("n")))
-        ok = both.select("a", "b", sizes.alias("s"), F.size("set_b").alias("n_b")).where(100 * F.col("s.common") >= self.percent * (F.col("s.n") + F.col("n_b") - F.col("s.common")))
-        return cut(ok.select("a", "b").unionByName(sure).distinct())
-
-    def texts(self, ids: DataFrame) -> DataFrame:
-        """(id, text) of the named documents; a filter of fixed size keeps most other texts out of the shuffle."""
-        ids = ids.distinct()
-        hashes, blocks = ids.select(F.xxhash64("id").alias("h")), bloom_size(ids.count())
-        named = self.docs.select(F.col("doc_id").alias("id"), "text", F.xxhash64("doc_id").alias("h"))
-        return bloom_pass(named, "h", bloom_build(hashes, "h", blocks), blocks).drop("h").join(ids, "id", "left_semi")
+        """The pairs (a, b) that link. The sketch of the union filters them, the full sets decide.
+
+        Up to the last value of the sketch that ends first, both sketches are complete; what differs there differs. Sets
+        of n_a and n_b values link if no more than (1 - t) / (1 + t) * (n_a + n_b) values are in one of them only.
+        """
+        pairs, n = counted(pairs)
+        used = bounded(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), 2 * n)
+        held = self.classes.join(used, "cid", "left_semi")
+        side = lambda x: held.select(F.col("cid").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
+        both = bounded(pairs, n).join(side("a"), "a").join(side("b"), "b").where(100 * F.least("n_a", "n_b") >= self.percent * F.greatest("n_a", "n_b"))
+        both = both.withColumn("last", F.least(F.element_at("s_a", -1), F.element_at("s_b", -1)))
+        size = lambda values: F.size(F.filter(values, lambda v: v <= F.col("last")))
+        apart = size(F.array_union("s_a", "s_b")) - size(F.array_intersect("s_a", "s_b"))
+        likely, n = counted(both.where((100 + self.percent) * apart <= (100 - self.percent) * (F.col("n_a") + F.col("n_b"))).select("a", "b"))
+        sets = self.sets(likely.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), 2 * n)
+        side = lambda x: sets.select(F.col("cid").alias(x), F.col("set").alias(f"set_{x}"))
+        sized = likely.join(side("a"), "a").join(side("b"), "b").select("a", "b", F.size(F.array_intersect("set_a", "set_b")).alias("common"), (F.size("set_a") + F.size("set_b")).alias("n"))
+        return sized.where(100 * F.col("common") >= self.percent * (F.col("n") - F.col("common"))).select("a", "b")
+
+    def sets(self, ids: DataFrame, most: int) -> DataFrame:
+        """(cid, set) of the named classes, at most so many; of many, a filter keeps most other texts out of the shuffle."""
+        ids, texts = self.classes.select("cid", "t1", "t2").join(bounded(ids, most), "cid", "left_semi"), self.docs.select("text", "t1", "t2")
+        if most > BROADCAST_ROWS:
+            ids, n = counted(ids)
+            hashes, blocks = ids.select(F.col("t1").alias("h")), bloom_size(n)
+            texts = bloom_pass(texts.withColumn("h", F.col("t1")), "h", bloom_build(hashes, "h", blocks), blocks).drop("h")
+        made = texts.join(bounded(ids, most), ["t1", "t2"]).select("cid", "text").mapInArrow(setter(self.words), "cid long, set array<long>")
+        return cut(made.groupBy("cid").agg(F.any_value("set").alias("set")))
 
     def links(self) -> DataFrame:
         """Links (a, b) that hold together what belongs together."""
-        lists = cut(self.lists())
-        stars = lists.where("rep != hub").groupBy("rep", "hub").agg(F.count("*").alias("n"))
-        best = stars.groupBy("rep").agg(F.max(F.struct("n", (-F.col("hub")).alias("hub"))).alias("x")).select(F.col("rep").alias("a"), (-F.col("x.hub")).alias("b"))
-        links = self.linked(best)
-        lists, split = self.split(lists, links)
-        others = split.select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
-        others = cut(others.join(best.withColumn("tried", F.lit(True)), ["a", "b"], "left_anti"))
-        if not others.isEmpty():
-            links = links.unionByName(self.linked(others))
-            lists, split = self.split(lists.drop("c", "c_hub"), links)
-        if split.isEmpty():
+        listed = self.lists()
+        stars = listed.where((F.col("m") > CLOSE) & (F.col("cid") != F.col("hub"))).select(F.col("cid").alias("a"), F.col("hub").alias("b"))
+        short = listed.where(F.col("m") <= CLOSE)
+        close = short.select("v", F.col("cid").alias("a")).join(short.select("v", F.col("cid").alias("b")), "v").where("a < b").select("a", "b")
+        links, n = counted(self.linked(stars.unionByName(close).distinct()))
+        found = bounded(components(links), n)
+        of = lambda x, name: found.select(F.col("node").alias(x), F.col("component").alias(name))
+        named = listed.where(F.col("m") > CLOSE).join(of("cid", "c"), "cid", "left").join(of("hub", "c_hub"), "hub", "left")
+        named = named.select("v", "m", (F.col("cid") == F.col("hub")).alias("is_hub"), "cid", F.coalesce("c", "cid").alias("c"), F.coalesce("c_hub", "hub").alias("c_hub"))
+        members, n = counted(named.withColumn("minor", F.col("c") != F.col("c_hub")).join(named.where("c != c_hub").select("v").distinct(), "v", "left_semi"))
+        if not n:
             return links
-        return links.unionByName(self.linked(self.rest(lists, split)))
+        more, n = counted(self.paired(members.where(F.col("m") <= PAIRED)).unionByName(self.indexed(members.where(F.col("m") > PAIRED))).distinct())
+        return links.unionByName(self.linked(more)) if n else links
 
-    def split(self, lists: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """lists with the component of each member, and the members that are not in their hub's component."""
-        found = components(links)
-        of = lambda x, name: found.select(F.col("node").alias(x), F.col("component").alias(name))
-        both = lists.join(of("rep", "c"), "rep", "left").join(of("hub", "c_hub"), "hub", "left")
-        named = cut(both.withColumn("c", F.coalesce("c", "rep")).withColumn("c_hub", F.coalesce("c_hub", "hub")))
-        return named, named.where("c != c_hub")
+    def paired(self, members: DataFrame) -> DataFrame:
+        """Pairs of different components of a list, one of them not in the hub's; pairs with the hub are done."""
+        side = lambda x: members.where("not is_hub").select("v", *[F.col(k).alias(f"{k}_{x}") for k in ("cid", "c", "minor")])
+        both = side(1).where("minor_1").join(side(2), "v").where("c_1 != c_2 and (not minor_2 or cid_1 < cid_2)")
+        return both.select(F.least("cid_1", "cid_2").alias("a"), F.greatest("cid_1", "cid_2").alias("b"))
 
-    def rest(self, lists: DataFrame, split: DataFrame) -> DataFrame:
-        """Pairs in different components that share a list in which one of them is not in the hub's, and may still link.
+    def indexed(self, members: DataFrame) -> DataFrame:
+        """Pairs of different components that share a list in which one of them is not in the hub's, and may still link.
 
-        The members of such lists are indexed again, by their full sets: ranked rarest first among them, two sets that
-        link share a shingle whose rank on both sides leaves room for all that they must have in common. A copy with
-        too many shingles of its own has no such shingle, so the far members of a group of copies drop out here.
+        The members of such lists are indexed by their full sets: ranked rarest first among them, two sets that link
+        share a shingle whose rank on both sides leaves room for all that they must have in common. A copy with too many
+        shingles of its own has no such shingle, so the far members of a group of copies drop out here.
         """
-        minor = split.select("rep").distinct().withColumn("minor", F.lit(True))
-        members = lists.join(split.select("v").distinct(), "v", "left_semi").select("rep", "c").distinct().join(minor, "rep", "left")
-        sets = self.texts(members.select(F.col("rep").alias("id"))).select(F.col("id").alias("rep"), shingle_set(F.col("text"), self.words).alias("set"))
-        posted = cut(members.join(sets, "rep").select("rep", "c", F.coalesce("minor", F.lit(False)).alias("minor"), F.size("set").alias("n"), F.explode("set").alias("v")))
+        each, n = counted(members.groupBy("cid").agg(F.any_value("c").alias("c"), F.max("minor").alias("minor")))
+        if not n:
+            return each.select(F.col("cid").alias("a"), F.col("cid").alias("b"))
+        sets = self.sets(each.select("cid"), n)
+        posted = cut(each.join(sets, "cid").select("cid", "c", "minor", F.size("set").alias("n"), F.explode("set").alias("v")))
         counts = posted.groupBy("v").agg(F.count("*").alias("df"), F.max("minor").alias("asked")).where("df > 1")
-        w = Window.partitionBy("rep")
+        w = Window.partitionBy("cid")
         shared = posted.join(counts, "v").withColumn("rank", F.col("n") - F.count("*").over(w) + F.row_number().over(w.orderBy("df", "v")))
-        first = cut(shared.where(F.col("asked") & (F.col("rank") <= F.col("n") - F.ceil(F.col("n") * self.percent / 100) + 1)).select("v", "rep", "c", "minor", "n", "rank"))
-        side = lambda df, x: df.select("v", *[F.col(k).alias(f"{k}_{x}") for k in ("rep", "c", "minor", "n", "rank")])
+        first = cut(shared.where(F.col("asked") & (F.col("rank") <= F.col("n") - F.ceil(F.col("n") * self.percent / 100) + 1)).select("v", "cid", "c", "minor", "n", "rank"))
+        side = lambda df, x: df.select("v", *[F.col(k).alias(f"{k}_{x}") for k in ("cid", "c", "minor", "n", "rank")])
         need = F.ceil(self.percent / (100 + self.percent) * (F.col("n_1") + F.col("n_2")) - 1e-9)
         fits = lambda x: F.col(f"rank_{x}") <= F.col(f"n_{x}") - need + 1
-        apart = (F.col("c_1") != F.col("c_2")) & (~F.col("minor_2") | (F.col("rep_1") < F.col("rep_2")))
-        return side(first.where("minor"), 1).join(side(first, 2), "v").where(apart & fits(1) & fits(2)).select(F.least("rep_1", "rep_2").alias("a"), F.greatest("rep_1", "rep_2").alias("b")).distinct()
+        # what a minor can have in common bounds its partners' sizes: a minor none of whose ranks fits the least of them is out
+        room = F.col("n") - F.ceil(self.percent / (100 + self.percent) * (F.col("n") + F.ceil(F.col("n") * self.percent / 100)) - 1e-9) + 1
+        apart = (F.col("c_1") != F.col("c_2")) & (~F.col("minor_2") | (F.col("cid_1") < F.col("cid_2")))
+        both = side(first.where("minor").where(F.col("rank") <= room), 1).join(side(first, 2), "v").where(apart & fits(1) & fits(2))
+        return both.select(F.least("cid_1", "cid_2").alias("a"), F.greatest("cid_1", "cid_2").alias("b")).distinct()
+
+    def named(self) -> DataFrame:
+        """(d1, d2, component, least): of each class its component, and the smallest id of all in it."""
+        found, n = counted(components(self.links()))
+        found = found.unionByName(found.select(F.col("component").alias("node"), "component").distinct()).withColumnRenamed("node", "cid")
+        of = self.classes.select("cid", "d1", "d2", "first").join(bounded(found, 2 * n), "cid", "left")
+        least = of.where("component is not null").groupBy("component").agg(F.min("first").alias("least"))
+        of = of.join(bounded(least, n), "component", "left")
+        return of.select("d1", "d2", F.coalesce("component", "cid").alias("component"), F.when(F.col("component").isNull(), F.col("first")).otherwise(F.col("least")).alias("least"))
 
     def labelled(self) -> DataFrame:
-        found = components(self.links())
-        named = self.rows.select("doc_id", "n", "d1", "d2").join(self.classes.select("d1", "d2", "rep"), ["d1", "d2"], "left")
-        alone = (F.col("n") == 0) | F.col("doc_id").isNull()
-        component = F.when(alone, F.col("doc_id")).otherwise(F.coalesce("component", "rep"))
-        out = named.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component_id", component)
-        return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+        out = self.rows.select("doc_id", "n", "d1", "d2").join(self.named(), ["d1", "d2"], "left")
+        component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("least"))
+        return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+    def gone(self) -> tuple[DataFrame, DataFrame]:
+        """Rows (doc_id, t1, t2) of components of which another row stays; rows that stay but are there several times."""
+        each = self.rows.where("n > 0").groupBy("doc_id", "t1", "t2", "d1", "d2").agg(F.count("*").alias("copies"))
+        each = cut(each.join(self.named(), ["d1", "d2"]).select("component", "doc_id", "t1", "t2", "copies"))
+        first = each.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t1", "t2")).alias("x"), F.count("*").alias("rows"))
+        first = first.where("rows > 1").select("component", F.col("x.doc_id").alias("id"), F.col("x.t1").alias("u1"), F.col("x.t2").alias("u2"))
+        apart = ~(F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("t1") == F.col("u1")) & (F.col("t2") == F.col("u2")))
+        gone = cut(each.join(small(cut(first)), "component").where(apart).select("doc_id", "t1", "t2"))
+        return gone, each.where("copies > 1").select("doc_id", "t1", "t2")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept.
 
     Words are what white space parts, A-Z lower-cased. Null text counts as empty; a document without words links with
-    nothing, and so does one without an id (its component_id is null and it is kept). Rows that share an id are one
-    document: what links to one of them links to all. Very long texts are read whole.
+    nothing. component_id is the smallest id of the rows of a component; rows without an id link like others, and their
+    component_id is null (and they are kept) where no row of their component has one. Rows that share an id but not the
+    text are judged each by its own text. Very long texts are read whole.
     """
     return NearDuplicates(docs, id_col, text_col, words, percent).labelled()
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs, with all their columns, but one of each component only, the first by id.
+    """The rows of docs, with all their columns, but one of each component only: the first by id, rows without an id last.
 
-    Rows that share an id but not the text are different documents here. Only where there are such rows, documents are
-    named by a 64-bit hash of id and text, as shingles are by theirs; else by their ids.
+    Rows are told apart by id and text, so rows that share an id, or have none, stay or go by themselves; of rows that
+    repeat both, one stays. Texts without words all stay.
     """
-    doc_id, key = F.col(f"`{id_col}`"), F.xxhash64(f"`{id_col}`", F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
-    if docs.where(doc_id.isNotNull()).groupBy(doc_id).agg(F.count("*").alias("n")).where("n > 1").isEmpty():
-        gone = near_duplicates(docs, id_col, text_col, words, percent).where("not kept").select(F.col("doc_id").alias("_quillon_id")).distinct()
-        return docs.join(gone, doc_id == F.col("_quillon_id"), "left_anti")
-    named = plain(docs, doc_id=id_col, key=F.when(doc_id.isNotNull(), key), text=text_col)
-    found = near_duplicates(named, "key", "text", words, percent).where("component_id is not null").select(F.col("doc_id").alias("key"), "component_id").distinct()
-    sized = cut(named.where("key is not null").select("doc_id", "key").distinct().join(found, "key"))
-    first = sized.groupBy("component_id").agg(F.min(F.struct("doc_id", "key")).alias("x")).select(F.col("x.key").alias("key"))
-    gone = sized.join(first, "key", "left_anti").select(F.col("key").alias("_quillon_key"))
-    return docs.join(gone, doc_id.isNotNull() & (key == F.col("_quillon_key")), "left_anti")
+    gone, several = NearDuplicates(docs, id_col, text_col, words, percent).gone()
+    names = {f"_quillon_{k}": c for k, c in row_names(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).items()}
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col("_quillon_id")) & (F.col("_quillon_t1") == F.col("_quillon_u1")) & (F.col("_quillon_t2") == F.col("_quillon_u2"))
+    keys = lambda df: small(df.select(F.col("doc_id").alias("_quillon_id"), F.col("t1").alias("_quillon_u1"), F.col("t2").alias("_quillon_u2")))
+    left = docs.withColumns(names).join(keys(gone), same, "left_anti")
+    if several.isEmpty():
+        return left.select(*docs.columns)
+    once = Window.partitionBy(F.col(f"`{id_col}`"), "_quillon_t1", "_quillon_t2").orderBy(F.lit(1))
+    repeated = left.join(keys(several), same, "left_semi").withColumn("_quillon_n", F.row_number().over(once)).where("_quillon_n = 1")
+    return left.join(keys(several), same, "left_anti").select(*docs.columns).unionByName(repeated.select(*docs.columns))
