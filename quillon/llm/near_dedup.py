@@ -14,9 +14,9 @@ from .common import BROADCAST_ROWS, bloom_build, bloom_pass, bloom_size, bounded
 
 #: Bytes of text that are hashed together, shingles that are counted together.
 TOGETHER, CHUNK = 1 << 18, 1 << 21
-#: A value that so many sketches retain is common. Common values come last in the order of all values, and only so many
-#: of them, the commonest, are told to the workers. The order decides what is compared first, never the result.
-COMMON, MOST_COMMON = 16, 200_000
+#: Values that are seen again come last in the order of all values, the commonest at the very end; only so many of them,
+#: the commonest, are told to the workers. The order decides what is compared first, never the result.
+MOST_COMMON = 1 << 19
 #: Lists up to CLOSE are compared pair by pair; of lists up to PAIRED, members that are not in their hub's component are.
 CLOSE, PAIRED = 6, 64
 
@@ -81,7 +81,10 @@ def retained(n: int, percent: int) -> int:
 
 
 def counter(words: int, percent: int):
-    """Of a partition, the values that the sketches of a chunk of its texts retain more than once, with their counts."""
+    """Of a partition, the low values that a chunk of its texts has more than once, with their counts.
+
+    Low is what twice as long sketches would retain: where many values are common, sketches reach farther.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -93,7 +96,7 @@ def counter(words: int, percent: int):
 
         for batch in batches:
             for h in shingle_sets(batch.column("text").to_pylist(), words):
-                held.append(h[: retained(len(h), percent)])
+                held.append(h[: 2 * retained(len(h), percent)])
                 n += len(held[-1])
                 if n >= CHUNK:
                     yield flush()
@@ -104,23 +107,34 @@ def counter(words: int, percent: int):
     return count
 
 
-def sketcher(words: int, percent: int, common: np.ndarray):
+def sketcher(words: int, percent: int, common: np.ndarray, ranks: np.ndarray):
     """Each row's columns but the text, and of its set the size n, a digest (d1, d2), the retained values (sketch)
     and how many of those are not common (own).
 
-    The values are in their order: the sign bit is set on all that are not common, so those come first.
+    The values are in their order: the sign bit is set on all that are not common, so those come first; common values
+    (sorted) are replaced by their ranks among each other.
     """
 
+    def parted(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Those that are not common, and the ranks of those that are."""
+        if not len(common):
+            return h, h[:0]
+        at = np.minimum(np.searchsorted(common, h), len(common) - 1)
+        often = common[at] == h
+        return h[~often], ranks[at[often]]
+
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, owns, digests, sketches = [], [], [], []
             for h in shingle_sets(batch.column("text").to_pylist(), words):
-                often = common[np.minimum(np.searchsorted(common, h), len(common) - 1)] == h if len(common) else np.zeros(len(h), bool)
-                ordered = np.concatenate((h[~often] | np.int64(-(1 << 63)), h[often]))
+                k = retained(len(h), percent)
+                light, known = parted(h[: 2 * k])
+                if len(light) < k:
+                    light, known = parted(h)
                 sizes.append(len(h))
-                owns.append(int((ordered[: retained(len(h), percent)] < 0).sum()))
+                owns.append(min(k, len(light)))
+                sketches.append(np.concatenate((light | np.int64(-(1 << 63)), np.sort(known)))[:k])
                 digests.append(np.frombuffer(hashlib.blake2b(h.tobytes(), digest_size=16).digest(), np.int64))
-                sketches.append(ordered[: retained(len(h), percent)])
             both = np.array(digests, np.int64).reshape(-1, 2)
             rest = [c for c in batch.schema.names if c != "text"]
             arrays = [batch.column(c) for c in rest] + [pa.array(sizes, pa.int32()), pa.array(owns, pa.int32()), pa.array(both[:, 0]), pa.array(both[:, 1]), lists(sketches)]
@@ -185,9 +199,10 @@ class NearDuplicates:
         text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
         self.docs = plain(docs, doc_id=id_col, text=text, **row_names(text))
         counts = self.docs.select("text").mapInArrow(counter(words, percent), "v long, n long").groupBy("v").agg(F.sum("n").alias("n"))
-        common = np.sort(np.array([r["v"] for r in counts.where(F.col("n") >= COMMON).orderBy(F.desc("n"), "v").limit(MOST_COMMON).collect()], np.int64))
+        common = counts.orderBy(F.desc("n"), "v").limit(MOST_COMMON).select("v").toArrow().column("v").to_numpy()[::-1]
+        place = np.argsort(common)
         kind = self.docs.schema["doc_id"].dataType.simpleString()
-        self.rows = cut(self.docs.mapInArrow(sketcher(words, percent, common), f"doc_id {kind}, t1 long, t2 long, n int, own int, d1 long, d2 long, sketch array<long>"))
+        self.rows = cut(self.docs.mapInArrow(sketcher(words, percent, common[place], place), f"doc_id {kind}, t1 long, t2 long, n int, own int, d1 long, d2 long, sketch array<long>"))
         each = self.rows.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("first"), F.min(F.struct("t1", "t2")).alias("t"), *[F.any_value(c).alias(c) for c in ("n", "own", "sketch")])
         self.classes = cut(each.select(F.monotonically_increasing_id().alias("cid"), "d1", "d2", "first", "t.*", "n", "own", "sketch"))
 
