@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, bloom_build, bloom_pass, bloom_size, bounded, counted, cut, plain, row_names, small
@@ -17,6 +17,8 @@ TOGETHER, CHUNK = 1 << 18, 1 << 21
 #: Values that are seen again come last in the order of all values, the commonest at the very end; only so many of them,
 #: the commonest, are told to the workers. The order decides what is compared first, never the result.
 MOST_COMMON = 1 << 19
+#: Bits of a class's parity map: bit i tells whether an odd number of the set's values fall on i.
+PARITY = 1024
 #: Lists up to CLOSE are compared pair by pair; of lists up to PAIRED, members that are not in their hub's component are.
 CLOSE, PAIRED = 6, 64
 
@@ -108,8 +110,8 @@ def counter(words: int, percent: int):
 
 
 def sketcher(words: int, percent: int, common: np.ndarray, ranks: np.ndarray):
-    """Each row's columns but the text, and of its set the size n, a digest (d1, d2), the retained values (sketch)
-    and how many of those are not common (own).
+    """Each row's columns but the text, and of its set the size n, a digest (d1, d2), the retained values
+    (sketch), how many of those are not common (own), and the parity map of the whole set.
 
     The values are in their order: the sign bit is set on all that are not common, so those come first; common values
     (sorted) are replaced by their ranks among each other.
@@ -125,20 +127,21 @@ def sketcher(words: int, percent: int, common: np.ndarray, ranks: np.ndarray):
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, owns, digests, sketches = [], [], [], []
+            sizes, owns, digests, sketches, maps = [], [], [], [], []
             for h in shingle_sets(batch.column("text").to_pylist(), words):
                 k = retained(len(h), percent)
                 light, known = parted(h[: 2 * k])
                 if len(light) < k:
                     light, known = parted(h)
                 sizes.append(len(h))
+                maps.append(np.packbits(np.bincount(h & (PARITY - 1), minlength=PARITY) & 1).view(np.int64))
                 owns.append(min(k, len(light)))
                 sketches.append(np.concatenate((light | np.int64(-(1 << 63)), np.sort(known)))[:k])
                 digests.append(np.frombuffer(hashlib.blake2b(h.tobytes(), digest_size=16).digest(), np.int64))
             both = np.array(digests, np.int64).reshape(-1, 2)
             rest = [c for c in batch.schema.names if c != "text"]
-            arrays = [batch.column(c) for c in rest] + [pa.array(sizes, pa.int32()), pa.array(owns, pa.int32()), pa.array(both[:, 0]), pa.array(both[:, 1]), lists(sketches)]
-            yield pa.RecordBatch.from_arrays(arrays, [*rest, "n", "own", "d1", "d2", "sketch"])
+            arrays = [batch.column(c) for c in rest] + [pa.array(sizes, pa.int32()), pa.array(owns, pa.int32()), pa.array(both[:, 0]), pa.array(both[:, 1]), lists(sketches), lists(maps)]
+            yield pa.RecordBatch.from_arrays(arrays, [*rest, "n", "own", "d1", "d2", "sketch", "parity"])
 
     return sketch
 
@@ -190,8 +193,9 @@ class NearDuplicates:
     the classes under their retained values. In a short list all are compared with each other, in a longer one with its
     hub, the class with the fewest values that are not common, the likeliest original of a group of copies. Members that
     are not in their hub's component afterwards are compared with the rest of their list: pair by pair if it is not
-    long, else by an index of the full sets. The two sketches up to the place where both are complete bound how much the
-    sets differ at least; pairs that differ too much go, the full sets of the others decide. No link is lost.
+    long, else by an index of the full sets. The parity maps of two sets, and their sketches up to the place where
+    both are complete, bound how much the sets differ at least; pairs that differ too much go, the full sets of the
+    others decide. No link is lost.
     """
 
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, words: int, percent: int):
@@ -202,33 +206,42 @@ class NearDuplicates:
         common = counts.orderBy(F.desc("n"), "v").limit(MOST_COMMON).select("v").toArrow().column("v").to_numpy()[::-1]
         place = np.argsort(common)
         kind = self.docs.schema["doc_id"].dataType.simpleString()
-        self.rows = cut(self.docs.mapInArrow(sketcher(words, percent, common[place], place), f"doc_id {kind}, t1 long, t2 long, n int, own int, d1 long, d2 long, sketch array<long>"))
-        each = self.rows.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("first"), F.min(F.struct("t1", "t2")).alias("t"), *[F.any_value(c).alias(c) for c in ("n", "own", "sketch")])
-        self.classes = cut(each.select(F.monotonically_increasing_id().alias("cid"), "d1", "d2", "first", "t.*", "n", "own", "sketch"))
+        self.rows = cut(self.docs.mapInArrow(sketcher(words, percent, common[place], place), f"doc_id {kind}, t1 long, t2 long, n int, own int, d1 long, d2 long, sketch array<long>, parity array<long>"))
+        each = self.rows.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("first"), F.min(F.struct("t1", "t2")).alias("t"), *[F.any_value(c).alias(c) for c in ("n", "own", "sketch", "parity")])
+        self.classes = cut(each.select(F.monotonically_increasing_id().alias("cid"), "d1", "d2", "first", "t.*", "n", "own", "sketch", "parity"))
 
     def lists(self) -> DataFrame:
-        """(v, cid, hub, m): the inverted lists of values that more than one class retains; m is the length of the list."""
+        """(v, cid, n, hub, m): the inverted lists of values that more than one class retains; m is the length of the list."""
         # own counts and class numbers in one long, so that the least of them is found by a hash aggregation
         key = F.shiftleft(F.least("own", F.lit(127)).cast("long"), 56).bitwiseOR(F.col("cid"))
-        posted = self.classes.select("cid", key.alias("key"), F.explode("sketch").alias("v"))
+        posted = self.classes.select("cid", "n", key.alias("key"), F.explode("sketch").alias("v"))
         shared = posted.groupBy("v").agg(F.count("*").alias("m"), F.min("key").alias("least")).where("m > 1")
-        return cut(posted.select("v", "cid").join(shared, "v").select("v", "cid", F.col("least").bitwiseAND(F.lit((1 << 56) - 1)).alias("hub"), "m"))
+        return cut(posted.select("v", "cid", "n").join(shared, "v").select("v", "cid", "n", F.col("least").bitwiseAND(F.lit((1 << 56) - 1)).alias("hub"), "m"))
+
+    def alike(self, a: str, b: str) -> Column:
+        """Whether sets of so many values can link."""
+        return 100 * F.least(a, b) >= self.percent * F.greatest(a, b)
 
     def linked(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) that link. The sketch of the union filters them, the full sets decide.
+        """The pairs (a, b) that link. Parity maps and the sketch of the union filter them, the full sets decide.
 
-        Up to the last value of the sketch that ends first, both sketches are complete; what differs there differs. Sets
-        of n_a and n_b values link if no more than (1 - t) / (1 + t) * (n_a + n_b) values are in one of them only.
+        Sets of n_a and n_b values link if no more than (1 - t) / (1 + t) * (n_a + n_b) values are in one of them only.
+        Each bit in which the parity maps differ stands for such a value; and up to the last value of the sketch that
+        ends first, both sketches are complete: what differs there differs.
         """
-        pairs, n = counted(pairs)
-        used = bounded(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), 2 * n)
-        held = self.classes.join(used, "cid", "left_semi")
-        side = lambda x: held.select(F.col("cid").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
-        both = bounded(pairs, n).join(side("a"), "a").join(side("b"), "b").where(100 * F.least("n_a", "n_b") >= self.percent * F.greatest("n_a", "n_b"))
-        both = both.withColumn("last", F.least(F.element_at("s_a", -1), F.element_at("s_b", -1)))
+
+        def beside(pairs: DataFrame, n: int, column: str) -> DataFrame:
+            used = bounded(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), 2 * n)
+            held = self.classes.select("cid", "n", column).join(used, "cid", "left_semi") if n <= BROADCAST_ROWS else self.classes
+            side = lambda x: held.select(F.col("cid").alias(x), F.col("n").alias(f"n_{x}"), F.col(column).alias(f"of_{x}"))
+            return bounded(pairs, n).join(side("a"), "a").join(side("b"), "b")
+
+        few = lambda apart: (100 + self.percent) * apart <= (100 - self.percent) * (F.col("n_a") + F.col("n_b"))
+        apart = F.aggregate(F.zip_with("of_a", "of_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+        pairs, n = counted(beside(*counted(pairs), "parity").where(self.alike("n_a", "n_b") & few(apart)).select("a", "b"))
+        both = beside(pairs, n, "sketch").withColumn("last", F.least(F.element_at("of_a", -1), F.element_at("of_b", -1)))
         size = lambda values: F.size(F.filter(values, lambda v: v <= F.col("last")))
-        apart = size(F.array_union("s_a", "s_b")) - size(F.array_intersect("s_a", "s_b"))
-        likely, n = counted(both.where((100 + self.percent) * apart <= (100 - self.percent) * (F.col("n_a") + F.col("n_b"))).select("a", "b"))
+        likely, n = counted(both.where(few(size(F.array_union("of_a", "of_b")) - size(F.array_intersect("of_a", "of_b")))).select("a", "b"))
         sets = self.sets(likely.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), 2 * n)
         side = lambda x: sets.select(F.col("cid").alias(x), F.col("set").alias(f"set_{x}"))
         sized = likely.join(side("a"), "a").join(side("b"), "b").select("a", "b", F.size(F.array_intersect("set_a", "set_b")).alias("common"), (F.size("set_a") + F.size("set_b")).alias("n"))
@@ -249,12 +262,13 @@ class NearDuplicates:
         listed = self.lists()
         stars = listed.where((F.col("m") > CLOSE) & (F.col("cid") != F.col("hub"))).select(F.col("cid").alias("a"), F.col("hub").alias("b"))
         short = listed.where(F.col("m") <= CLOSE)
-        close = short.select("v", F.col("cid").alias("a")).join(short.select("v", F.col("cid").alias("b")), "v").where("a < b").select("a", "b")
+        end = lambda x: short.select("v", F.col("cid").alias(x), F.col("n").alias(f"n_{x}"))
+        close = end("a").join(end("b"), "v").where((F.col("a") < F.col("b")) & self.alike("n_a", "n_b")).select("a", "b")
         links, n = counted(self.linked(stars.unionByName(close).distinct()))
         found = bounded(components(links), n)
         of = lambda x, name: found.select(F.col("node").alias(x), F.col("component").alias(name))
         named = listed.where(F.col("m") > CLOSE).join(of("cid", "c"), "cid", "left").join(of("hub", "c_hub"), "hub", "left")
-        named = named.select("v", "m", (F.col("cid") == F.col("hub")).alias("is_hub"), "cid", F.coalesce("c", "cid").alias("c"), F.coalesce("c_hub", "hub").alias("c_hub"))
+        named = named.select("v", "m", "n", (F.col("cid") == F.col("hub")).alias("is_hub"), "cid", F.coalesce("c", "cid").alias("c"), F.coalesce("c_hub", "hub").alias("c_hub"))
         members, n = counted(named.withColumn("minor", F.col("c") != F.col("c_hub")).join(named.where("c != c_hub").select("v").distinct(), "v", "left_semi"))
         if not n:
             return links
@@ -263,8 +277,8 @@ class NearDuplicates:
 
     def paired(self, members: DataFrame) -> DataFrame:
         """Pairs of different components of a list, one of them not in the hub's; pairs with the hub are done."""
-        side = lambda x: members.where("not is_hub").select("v", *[F.col(k).alias(f"{k}_{x}") for k in ("cid", "c", "minor")])
-        both = side(1).where("minor_1").join(side(2), "v").where("c_1 != c_2 and (not minor_2 or cid_1 < cid_2)")
+        side = lambda x: members.where("not is_hub").select("v", *[F.col(k).alias(f"{k}_{x}") for k in ("cid", "n", "c", "minor")])
+        both = side(1).where("minor_1").join(side(2), "v").where(F.expr("c_1 != c_2 and (not minor_2 or cid_1 < cid_2)") & self.alike("n_1", "n_2"))
         return both.select(F.least("cid_1", "cid_2").alias("a"), F.greatest("cid_1", "cid_2").alias("b"))
 
     def indexed(self, members: DataFrame) -> DataFrame:
