@@ -16,13 +16,13 @@ from .common import BROADCAST_ROWS, bloom_build, bloom_pass, bloom_size, bounded
 TOGETHER, CHUNK = 1 << 18, 1 << 21
 #: Values that are seen again come last in the order of all values, the commonest at the very end; only so many of them,
 #: the commonest, are told to the workers. The order decides what is compared first, never the result.
-MOST_COMMON = 1 << 19
+MOST_COMMON = 1 << 20
 #: Bits of a class's parity map: bit i tells whether an odd number of the set's values fall on i.
 PARITY = 1024
+#: Values that two sets which link share at least among those that are retained (if they have so many in common).
+SHARED = 3
 #: Lists up to CLOSE are compared pair by pair; of lists up to PAIRED, members that are not in their hub's component are.
-CLOSE, PAIRED = 6, 64
-
-
+CLOSE, PAIRED = 12, 64
 SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 ONE, GOLDEN = np.uint64(1), np.uint64(0x9E3779B97F4A7C15)
 
@@ -78,8 +78,8 @@ def shingle_sets(texts: list[str | None], words: int) -> Iterator[np.ndarray]:
 
 
 def retained(n: int, percent: int) -> int:
-    """Of two sets that link, the first so many values of each, in one order of all values, share one."""
-    return n - -(-n * percent // 100) + 1 if n else 0
+    """Of two sets that link, the first so many values of each, in one order of all values, have SHARED in common."""
+    return min(n, n - -(-n * percent // 100) + SHARED)
 
 
 def counter(words: int, percent: int):
@@ -189,13 +189,14 @@ class NearDuplicates:
     """Links between documents whose sets of word shingles have a Jaccard similarity of percent/100 or more.
 
     Documents of one set are one class. Its sketch retains the first values of the set in one order of all values, by
-    their hash with common ones last: as many as make two classes that link share one for certain. Inverted lists hold
-    the classes under their retained values. In a short list all are compared with each other, in a longer one with its
-    hub, the class with the fewest values that are not common, the likeliest original of a group of copies. Members that
-    are not in their hub's component afterwards are compared with the rest of their list: pair by pair if it is not
-    long, else by an index of the full sets. The parity maps of two sets, and their sketches up to the place where
-    both are complete, bound how much the sets differ at least; pairs that differ too much go, the full sets of the
-    others decide. No link is lost.
+    their hash with common ones last: as many as make two classes that link share SHARED of them for certain. Inverted
+    lists hold the classes under their retained values. First, members of long lists meet hubs: the class of the list
+    with the fewest values that are not common, the likeliest original of a group of copies, and of very long lists one
+    by hash. Then all pairs of different components are counted over the short lists, and over the longer ones where one
+    of them is not in the hub's component; those that share enough are compared. A pair that shares less in them shares
+    a very long list, whose members outside the hub's component are matched by an index of the full sets. The parity
+    maps of two sets, and their sketches up to the place where both are complete, bound how much the sets differ at
+    least; pairs that differ too much go, the full sets of the others decide. No link is lost.
     """
 
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, words: int, percent: int):
@@ -211,12 +212,12 @@ class NearDuplicates:
         self.classes = cut(each.select(F.monotonically_increasing_id().alias("cid"), "d1", "d2", "first", "t.*", "n", "own", "sketch", "parity"))
 
     def lists(self) -> DataFrame:
-        """(v, cid, n, hub, m): the inverted lists of values that more than one class retains; m is the length of the list."""
+        """(v, cid, n, hub, other, m): the inverted lists of values that more than one class retains, their hubs and lengths."""
         # own counts and class numbers in one long, so that the least of them is found by a hash aggregation
         key = F.shiftleft(F.least("own", F.lit(127)).cast("long"), 56).bitwiseOR(F.col("cid"))
         posted = self.classes.select("cid", "n", key.alias("key"), F.explode("sketch").alias("v"))
-        shared = posted.groupBy("v").agg(F.count("*").alias("m"), F.min("key").alias("least")).where("m > 1")
-        return cut(posted.select("v", "cid", "n").join(shared, "v").select("v", "cid", "n", F.col("least").bitwiseAND(F.lit((1 << 56) - 1)).alias("hub"), "m"))
+        shared = posted.groupBy("v").agg(F.count("*").alias("m"), F.min("key").alias("least"), F.min_by("cid", F.xxhash64("cid", "v")).alias("other")).where("m > 1")
+        return cut(posted.select("v", "cid", "n").join(shared, "v").select("v", "cid", "n", F.col("least").bitwiseAND(F.lit((1 << 56) - 1)).alias("hub"), "other", "m"))
 
     def alike(self, a: str, b: str) -> Column:
         """Whether sets of so many values can link."""
@@ -260,26 +261,25 @@ class NearDuplicates:
     def links(self) -> DataFrame:
         """Links (a, b) that hold together what belongs together."""
         listed = self.lists()
-        stars = listed.where((F.col("m") > CLOSE) & (F.col("cid") != F.col("hub"))).select(F.col("cid").alias("a"), F.col("hub").alias("b"))
-        short = listed.where(F.col("m") <= CLOSE)
-        end = lambda x: short.select("v", F.col("cid").alias(x), F.col("n").alias(f"n_{x}"))
-        close = end("a").join(end("b"), "v").where((F.col("a") < F.col("b")) & self.alike("n_a", "n_b")).select("a", "b")
-        links, n = counted(self.linked(stars.unionByName(close).distinct()))
+        star = lambda hub, least: listed.where((F.col("m") > least) & (F.col("cid") != F.col(hub))).groupBy(F.col("cid").alias("a"), F.col(hub).alias("b")).agg(F.count("*").alias("x"))
+        links, n = counted(self.linked(star("hub", CLOSE).where(F.col("x") >= SHARED).unionByName(star("other", PAIRED)).select("a", "b").distinct()))
         found = bounded(components(links), n)
         of = lambda x, name: found.select(F.col("node").alias(x), F.col("component").alias(name))
-        named = listed.where(F.col("m") > CLOSE).join(of("cid", "c"), "cid", "left").join(of("hub", "c_hub"), "hub", "left")
-        named = named.select("v", "m", "n", (F.col("cid") == F.col("hub")).alias("is_hub"), "cid", F.coalesce("c", "cid").alias("c"), F.coalesce("c_hub", "hub").alias("c_hub"))
-        members, n = counted(named.withColumn("minor", F.col("c") != F.col("c_hub")).join(named.where("c != c_hub").select("v").distinct(), "v", "left_semi"))
-        if not n:
-            return links
-        more, n = counted(self.paired(members.where(F.col("m") <= PAIRED)).unionByName(self.indexed(members.where(F.col("m") > PAIRED))).distinct())
+        named = listed.join(of("cid", "c"), "cid", "left").join(of("hub", "c_hub"), "hub", "left")
+        c = F.coalesce("c", "cid")
+        named = cut(named.select("v", "m", "n", "cid", c.alias("c"), (c != F.coalesce("c_hub", "hub")).alias("minor")))
+        more, n = counted(self.paired(named.where(F.col("m") <= PAIRED)).unionByName(self.indexed(named.where(F.col("m") > PAIRED))).distinct())
         return links.unionByName(self.linked(more)) if n else links
 
     def paired(self, members: DataFrame) -> DataFrame:
-        """Pairs of different components of a list, one of them not in the hub's; pairs with the hub are done."""
-        side = lambda x: members.where("not is_hub").select("v", *[F.col(k).alias(f"{k}_{x}") for k in ("cid", "n", "c", "minor")])
-        both = side(1).where("minor_1").join(side(2), "v").where(F.expr("c_1 != c_2 and (not minor_2 or cid_1 < cid_2)") & self.alike("n_1", "n_2"))
-        return both.select(F.least("cid_1", "cid_2").alias("a"), F.greatest("cid_1", "cid_2").alias("b"))
+        """Pairs of different components that share enough of these lists. In longer ones, one of a pair is a minor."""
+        side = lambda x: members.select("v", "m", *[F.col(k).alias(f"{k}_{x}") for k in ("cid", "n", "c", "minor")])
+        asked = side(1).where((F.col("m") <= CLOSE) | F.col("minor_1")).drop("m")
+        once = F.when((F.col("m") <= CLOSE) | F.col("minor_2"), F.col("cid_1") < F.col("cid_2")).otherwise(True)
+        both = asked.join(side(2), "v").where((F.col("c_1") != F.col("c_2")) & once & self.alike("n_1", "n_2"))
+        need = F.ceil(self.percent / (100 + self.percent) * (F.col("n_1") + F.col("n_2")) - 1e-9)
+        pairs = both.groupBy(F.least("cid_1", "cid_2").alias("a"), F.greatest("cid_1", "cid_2").alias("b"), need.alias("need")).agg(F.count("*").alias("x"))
+        return pairs.where(F.col("x") >= F.least("need", F.lit(SHARED))).select("a", "b")
 
     def indexed(self, members: DataFrame) -> DataFrame:
         """Pairs of different components that share a list in which one of them is not in the hub's, and may still link.
@@ -288,7 +288,8 @@ class NearDuplicates:
         share a shingle whose rank on both sides leaves room for all that they must have in common. A copy with too many
         shingles of its own has no such shingle, so the far members of a group of copies drop out here.
         """
-        each, n = counted(members.groupBy("cid").agg(F.any_value("c").alias("c"), F.max("minor").alias("minor")))
+        open_ = members.where("minor").select("v").distinct()
+        each, n = counted(members.join(open_, "v", "left_semi").groupBy("cid").agg(F.any_value("c").alias("c"), F.max("minor").alias("minor")))
         if not n:
             return each.select(F.col("cid").alias("a"), F.col("cid").alias("b"))
         sets = self.sets(each.select("cid"), n)
