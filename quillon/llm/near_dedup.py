@@ -191,8 +191,8 @@ class NearDuplicates:
     Documents of one set are one class. Its sketch retains the first values of the set in one order of all values, by
     their hash with common ones last: as many as make two classes that link share SHARED of them for certain. Inverted
     lists hold the classes under their retained values. First, members of long lists meet hubs: the class of the list
-    with the fewest values that are not common, the likeliest original of a group of copies, and of very long lists one
-    by hash. Then all pairs of different components are counted over the short lists, and over the longer ones where one
+    with the fewest values that are not common, the likeliest original of a group of copies, and of some very long
+    lists one by hash. Then all pairs of different components are counted over the short lists, and over the longer ones where one
     of them is not in the hub's component; those that share enough are compared. A pair that shares less in them shares
     a very long list, whose members outside the hub's component are matched by an index of the full sets. The parity
     maps of two sets, and their sketches up to the place where both are complete, bound how much the sets differ at
@@ -261,8 +261,8 @@ class NearDuplicates:
     def links(self) -> DataFrame:
         """Links (a, b) that hold together what belongs together."""
         listed = self.lists()
-        star = lambda hub, least: listed.where((F.col("m") > least) & (F.col("cid") != F.col(hub))).groupBy(F.col("cid").alias("a"), F.col(hub).alias("b")).agg(F.count("*").alias("x"))
-        links, n = counted(self.linked(star("hub", CLOSE).where(F.col("x") >= SHARED).unionByName(star("other", PAIRED)).select("a", "b").distinct()))
+        star = lambda hub, least, some=F.lit(True): listed.where((F.col("m") > least) & (F.col("cid") != F.col(hub)) & some).groupBy(F.col("cid").alias("a"), F.col(hub).alias("b")).agg(F.count("*").alias("x"))
+        links, n = counted(self.linked(star("hub", CLOSE).where(F.col("x") >= SHARED).unionByName(star("other", PAIRED, F.pmod(F.xxhash64("v"), F.lit(8)) == 0)).select("a", "b").distinct()))
         found = bounded(components(links), n)
         of = lambda x, name: found.select(F.col("node").alias(x), F.col("component").alias(name))
         named = listed.join(of("cid", "c"), "cid", "left").join(of("hub", "c_hub"), "hub", "left")
