@@ -17,8 +17,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder in the one that the cluster names in spark.checkpoint.dir (unset, as in tests: /tmp/checkpoints)."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    """A new folder in the one that the cluster names in spark.checkpoint.dir. Unset, it is /tmp/checkpoints on one machine, and an error on more."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        top = "/tmp/checkpoints"
     return f"{top.rstrip('/')}/quillon-{uuid.uuid4().hex}"
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,7 +16,11 @@ from .common import drawn, plain, short_batches, small
 SAMPLE_DOCS, SAMPLE_PASSAGES, SAMPLE_CHARS = 300, 4, 96
 #: Bytes that the network reads in one go, states of each direction, windows that are computed together.
 WINDOW, STATES, TOGETHER = 96, 12, 1024
-LETTER = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str | None) -> bool:
+    """Whether a character of category L is there."""
+    return text is not None and any(map(str.isalpha, text))
 
 
 @dataclass
@@ -32,12 +35,12 @@ class Network:
 
     @classmethod
     def new(cls, languages: list[str], rng: np.random.Generator) -> Network:
-        scale = lambda *shape: (rng.standard_normal(shape) * 0.3).astype(np.float32)
+        scale = lambda *sizes: (rng.standard_normal(sizes) * 0.3).astype(np.float32)
         return cls(languages, scale(2, 256, 2 * STATES), scale(2, STATES, 2 * STATES), scale(2 * STATES, len(languages)), np.zeros(len(languages), np.float32))
 
     def states(self, windows: np.ndarray, keep: bool = False):
         """States (steps, 2, windows, states) in the order of the bytes; with keep also what training needs of each step."""
-        n, steps = windows.shape
+        n, steps = len(windows), len(windows[0])
         columns = np.ascontiguousarray(windows.T)
         out = np.empty((steps, 2, n, STATES), np.float32)
         h, trace = np.zeros((2, n, STATES), np.float32), []
@@ -66,7 +69,7 @@ class Network:
 
     def gradients(self, windows: np.ndarray, labels: np.ndarray) -> list[np.ndarray]:
         """Backpropagation through time of the mean cross entropy over all positions that are not padding."""
-        n, steps = windows.shape
+        n, steps = len(windows), len(windows[0])
         states, trace = self.states(windows, keep=True)
         p = self.probabilities(states)
         p[labels, :, np.arange(n)] -= 1
@@ -144,7 +147,7 @@ def predictor(net: Network | None):
         for batch in batches:
             for lo in range(0, len(batch), 256):  # bounds the bytes that are held at once
                 rows = batch.iloc[lo : lo + 256]
-                texts = [t if t is not None and LETTER.search(t) else None for t in rows["text"]]
+                texts = [t if has_letter(t) else None for t in rows["text"]]
                 out = pd.DataFrame({"doc_id": rows["doc_id"].astype("Int64"), "held_out": rows["held_out"], "lang_pred": "und", "score": 0.0, "position_share": 0.0})
                 told = np.array([t is not None for t in texts])
                 if net is not None and told.any():
@@ -169,7 +172,7 @@ def sample(docs: DataFrame) -> list[tuple[bytes, str]]:
     start = lambda k: F.pmod(F.xxhash64("doc_id", F.lit(k)), F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0)) + 1).cast("int") + 1
     cuts = F.array(*[F.substring(F.col("text"), start(k), F.lit(SAMPLE_CHARS)) for k in range(SAMPLE_PASSAGES)])
     rows = named.join(share, "lang").where(drawn(F.col("doc_id"), F.col("share"))).select("lang", cuts.alias("cuts")).collect()
-    return sorted((t.encode(), r["lang"]) for r in rows for t in r["cuts"] or [] if t and LETTER.search(t))
+    return sorted((t.encode(), r["lang"]) for r in rows for t in r["cuts"] or [] if has_letter(t))
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -192,7 +195,7 @@ def keep_identified(docs: DataFrame, least: float, id_col: str = "doc_id", text_
     def kept(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
-                part = [t if t is not None and LETTER.search(t) else None for t in batch.slice(lo, 256).column(text_col).to_pylist()]
+                part = [t if has_letter(t) else None for t in batch.slice(lo, 256).column(text_col).to_pylist()]
                 sure = np.zeros(len(part), bool)
                 told = np.array([t is not None for t in part])
                 if net is not None and told.any():

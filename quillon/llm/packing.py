@@ -91,12 +91,15 @@ def best_fit_decreasing(counts: dict[int, int], capacity: int) -> list[tuple[int
 
 
 @lru_cache(1)
-def encoder(vocabulary: str, ranks: str):
-    """text -> ids of the tokenizers vocabulary; texts with none of its special tokens go through the same ranks, faster."""
+def encoder(vocabulary: str, ranks: str | None):
+    """text -> ids of the tokenizers vocabulary; texts with none of its special tokens go through its ranks, if given, faster."""
     import tiktoken
     import tokenizers
     from public_tokenizers import PATTERN
 
+    if ranks is None:
+        own = tokenizers.Tokenizer.from_file(vocabulary)
+        return lambda text: own.encode(text, add_special_tokens=False).ids
     with open(ranks, "rb") as lines:
         by_bytes = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     fast = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=by_bytes, special_tokens={}).encode_ordinary
@@ -116,7 +119,7 @@ def pieces(capacity: int, vocabulary: str | None, ranks: str | None, with_ids: b
     def cut_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import public_tokenizers
 
-        encode = encoder(vocabulary or public_tokenizers.path("byte_bpe_50k.json"), ranks or public_tokenizers.path("byte_bpe_50k.tiktoken"))
+        encode = encoder(vocabulary or public_tokenizers.path("byte_bpe_50k.json"), ranks if vocabulary or ranks else public_tokenizers.path("byte_bpe_50k.tiktoken"))
         names = [c.split()[0] for c in PIECE.split(", ")] + ["ids"] * with_ids
         for batch in batches:
             rows = []

@@ -19,11 +19,11 @@ from .common import drawn, plain, short_batches
 KINDS = ["email", "ip", "card", "phone"]
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)")
+IP = re.compile(r"(?<![0-9])([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: What the field labels: addresses with @ or a spelt-out one, and runs of digits with what may stand between them.
-NODE = re.compile(r"[^\s@<>()\[\],;:|\"]+(?:@|\s?[\[(](?:at|AT)[\])]\s?)[^\s@<>()\[\],;:|\"]+|\+?[0-9(][0-9().\x20/-]*[0-9]")
+NODE = re.compile(r"(?<![^\s@<>()\[\],;:|\"])[^\s@<>()\[\],;:|\"]+(?:@|\s?[\[(](?:at|AT)[\])]\s?)[^\s@<>()\[\],;:|\"]+|\+?[0-9(][0-9().\x20/-]*[0-9]")
 DIGITS = re.compile(r"[0-9]")
 #: What a text has at least if it has a node.
 MAY = re.compile(r"@|[\[(](?:at|AT)[\])]|[0-9](?:[().\x20/-]*[0-9]){6}")
@@ -88,8 +88,8 @@ def nodes_of(text: str, base: list[tuple[int, int, int]]) -> list[Node]:
         label = next((x[1] + 1 for x in base[k:] if x[0] < b and x[2] > a), 0) if k < len(base) and base[k][0] < b else 0
         key = re.split(r"@|\s?[\[(]at", said.lower())[0] if address else digits[-7:]
         before = re.findall(r"\w+", text[max(0, a - 24) : a])[-1:]
-        shape = re.sub(r"([0A.])\1+", r"\1+", re.sub(r"[0-9]", "0", re.sub(r"[^\W\d_]", "A", said)))
-        names = ["bias", f"address={address}", f"digits={min(20, len(digits))}", f"dots={min(5, said.count('.'))}", f"plus={said[0] == '+'}", f"bracket={'(' in said}", f"gap={' ' in said}", f"dash={'-' in said}", f"shape={shape[:16]}", *[f"before={w.lower()}" for w in before]]
+        form = re.sub(r"([0A.])\1+", r"\1+", re.sub(r"[0-9]", "0", re.sub(r"[^\W\d_]", "A", said)))
+        names = ["bias", f"address={address}", f"digits={min(20, len(digits))}", f"dots={min(5, said.count('.'))}", f"plus={said[0] == '+'}", f"bracket={'(' in said}", f"gap={' ' in said}", f"dash={'-' in said}", f"form={form[:16]}", *[f"before={w.lower()}" for w in before]]
         out.append(Node(a, b, label, key, sorted({bucket(n) for n in names})))
     return out
 

@@ -36,7 +36,7 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]] = RULES, listed: l
     )
     entries = [(rule, action, False) for action, rule in rules] + [(x, "block", True) for x in listed]
     parts = [(x[0].partition("/")[0], x[0][len(x[0].partition("/")[0]) :]) for x in entries]
-    shapes = sorted({(len(host.split(".")), len(path), x[2]) for (host, path), x in zip(parts, entries, strict=True)})
+    sizes = sorted({(len(host.split(".")), len(path), x[2]) for (host, path), x in zip(parts, entries, strict=True)})
     known = spark.createDataFrame(entries, "entry string, action string, listed boolean").withColumn("h", F.xxhash64("entry"))
 
     scheme = ascii_lower(F.regexp_extract("url", r"(?s)^.*?([A-Za-z0-9+.-]*)://", 1))
@@ -53,11 +53,11 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]] = RULES, listed: l
         key = F.struct(F.concat(F.array_join(F.slice(labels, -k, k), "."), F.substring(path, 1, n)).alias("entry"), F.lit(of_list).alias("listed"))
         return F.when((F.size(labels) >= k) & (F.length(path) >= n), key)
 
-    keys = urls.select("url", F.explode(F.array_compact(F.array(*[tried(*x) for x in shapes]))).alias("x")).select("url", "x.*").withColumn("h", F.xxhash64("entry"))
+    keys = urls.select("url", F.explode(F.array_compact(F.array(*[tried(*x) for x in sizes]))).alias("x")).select("url", "x.*").withColumn("h", F.xxhash64("entry"))
     blocks = bloom_size(len(entries))
     may = bloom_pass(keys, "h", bloom_build(known, "h", blocks), blocks)
     hits = may.join(small(known.drop("h")), ["entry", "listed"])
-    rank = lambda keep: F.max(F.when(keep, F.struct(F.length("entry").alias("n"), (-F.ascii("entry")).alias("o"), "entry", "action")))
+    rank = lambda keep: F.min(F.when(keep, F.struct((-F.length("entry")).alias("n"), "entry", "action")))
     judged = hits.groupBy("url").agg(rank(~F.col("listed")).alias("rule"), F.max("listed").alias("listed"))
     verdict = F.coalesce(F.col("rule.action"), F.when(F.col("listed"), F.lit("block")), F.lit("allow"))
     return rows.join(judged, "url", "left").select("page_id", "host", "path", F.col("rule.entry").alias("rule"), verdict.alias("verdict"))

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -293,7 +294,7 @@ def test_network_gradients():
 
     grads = net.gradients(windows, labels)
     for w, g in zip([net.x, net.u, net.v], grads, strict=False):
-        at = np.unravel_index(np.argmax(np.abs(g)), g.shape)
+        at = tuple(np.argwhere(np.abs(g) == np.abs(g).max())[0])
         before = w[at]
         w[at] = before + 1e-3
         up = loss()
@@ -354,6 +355,36 @@ def test_licence_words_lose_nothing():
             assert 2 * min(len(free), size) / (size + len(own)) < 0.8 or size < 0.8 / 1.2 * len(own)
 
 
+def test_texts_without_letters_have_no_language():
+    assert not any(map(language_id.has_letter, [None, "", "½ ² ⅷ 12 !?", "٣"])) and language_id.has_letter("1 é")
+
+
+def test_long_unbroken_tokens_take_linear_time():
+    field = pii.Field(np.zeros((pii.N_FEATURES, 5)), np.zeros((5, 5)), np.zeros((5, 5)))
+    began = time.time()
+    for token in ("a" * 300_000, "9" * 300_000):
+        pii.nodes_of(token, pii.base_spans(token))
+        list(near_dedup.shingle_sets([token], 3))
+    assert time.time() - began < 20 and pii.found("a" * 50_000 + "@b.co", field)[0] == [(0, 0, 50_005)]
+
+
+def test_near_duplicates_at_the_very_threshold(spark):
+    """Long texts of which exactly 85 of 100 shingles are shared, and of which one less is."""
+    rng, rows = random.Random(3), []
+    for k in range(12):
+        n = 170 * (k + 1)  # shared shingles: n; 30 (k + 1) are in one text only
+        base = [f"w{k}x{rng.random()}" for _ in range(n + 2)]
+        extra = [f"e{k}x{rng.random()}" for _ in range(30 * (k + 1))]
+        rows += [(4 * k, " ".join(base)), (4 * k + 1, " ".join(base + extra)), (4 * k + 2, " ".join(x + "'" for x in base)), (4 * k + 3, " ".join([x + "'" for x in base] + extra + ["more"]))]
+    out = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), words=3, percent=85).collect()}
+    assert out == {d: d - 1 if d % 4 == 1 else d for d, _ in rows}
+
+
+def test_equal_rules_go_to_the_first_in_order_of_text(spark):
+    got = url_filter.judge_urls(spark.createDataFrame([(1, "http://a.b.com/xy")], "page_id bigint, url string"), rules=[("block", "b.com/xy"), ("allow", "a.b.com/")], listed=["y.com/"]).first()
+    assert (got["rule"], got["verdict"]) == ("a.b.com/", "allow")
+
+
 def test_url_rules(spark):
     rows = [(1, "http://a.example.com/en/7x"), (2, "http://example.com/en/8"), (3, "HTTP://X.NET/de/"), (4, "http://example.net/de/81"), (5, "no scheme"), (6, None), (7, "http://free-bets.example.com/"), (8, "http://notexample.com/en/7"), (9, "http://org/es/?q#f"), (10, "x://h?p"), (11, "a\nb://example.com/en/7")]
     out = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.judge_urls(spark.createDataFrame(rows, "page_id bigint, url string")).collect()}
