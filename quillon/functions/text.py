@@ -148,7 +148,7 @@ def similarity(kind: str, a: Column, b: Column) -> Column:
     return ways[kind]()
 
 
-def shape(c: Column) -> Column:
+def skeleton(c: Column) -> Column:
     """Runs of digits as D, of letters as A, of any other character once."""
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"\p{L}+", "A"), r"\d+", "D"), r"([^AD])\1+", "$1")
 

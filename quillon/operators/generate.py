@@ -63,10 +63,10 @@ def poisson_shares(lam: float) -> list[float]:
     return out
 
 
-def gamma_of(s: Stream, row: Column, shape: float, scale: float, label: str = "") -> Column:
+def gamma_of(s: Stream, row: Column, alpha: float, scale: float, label: str = "") -> Column:
     """Marsaglia and Tsang's method with eight tries of its own for each row; the last stands."""
-    boost = shape < 1
-    d = (shape + 1 if boost else shape) - 1 / 3
+    boost = alpha < 1
+    d = (alpha + 1 if boost else alpha) - 1 / 3
     c = 1 / math.sqrt(9 * d)
     out = None
     for k in reversed(range(8)):
@@ -74,7 +74,7 @@ def gamma_of(s: Stream, row: Column, shape: float, scale: float, label: str = ""
         v = (1 + c * x) ** 3
         ok = (v > 0) & (F.log(u) < 0.5 * x * x + d - d * v + d * F.log(F.greatest(v, F.lit(1e-300))))
         out = F.greatest(d * v, F.lit(1e-12)) if out is None else F.when(ok, d * v).otherwise(out)
-    return out * scale * (F.pow(1 - s.uniform(row, label + "b"), F.lit(1 / shape)) if boost else 1.0)
+    return out * scale * (F.pow(1 - s.uniform(row, label + "b"), F.lit(1 / alpha)) if boost else 1.0)
 
 
 def draw(family: str, source: Stream, row: Column, **p) -> Column:

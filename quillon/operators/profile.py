@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.guards import NUMERIC, finite, pearson, ratio
-from ..functions.text import PATTERNS, shape
+from ..functions.text import PATTERNS, skeleton
 
 GRID = [0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99]
 
@@ -95,9 +95,9 @@ def top_values(df: DataFrame, columns: list[str], n: int = 10) -> DataFrame:
     return counts.withColumn("rank", rank).where(F.col("rank") <= n).select("column", "rank", "value", "count")
 
 
-def shapes(df: DataFrame, column: str, n: int = 10) -> DataFrame:
-    """The n most frequent value shapes of a text column."""
-    return df.where(F.col(column).isNotNull()).groupBy(shape(F.col(column)).alias("shape")).agg(F.count("*").alias("count")).orderBy(F.desc("count"), "shape").limit(n)
+def skeletons(df: DataFrame, column: str, n: int = 10) -> DataFrame:
+    """The n most frequent value skeletons of a text column."""
+    return df.where(F.col(column).isNotNull()).groupBy(skeleton(F.col(column)).alias("skeleton")).agg(F.count("*").alias("count")).orderBy(F.desc("count"), "skeleton").limit(n)
 
 
 def temporal_profile(df: DataFrame, column: str) -> DataFrame:

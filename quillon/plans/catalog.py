@@ -86,10 +86,10 @@ def top_values(spark, d):
     return profile.top_values(t(spark, d, "lineitem"), ["l_returnflag", "l_linestatus", "l_linenumber"], 5)
 
 
-@query("""select shape, count(*) as count from (select regexp_replace(regexp_replace(regexp_replace(c_name, '\\p{L}+', 'A', 'g'), '\\d+', 'D', 'g'), '#+', '#', 'g') as shape from customer)
-group by shape order by count desc, shape limit 10""")
-def value_shapes(spark, d):
-    return profile.shapes(t(spark, d, "customer"), "c_name")
+@query("""select skeleton, count(*) as count from (select regexp_replace(regexp_replace(regexp_replace(c_name, '\\p{L}+', 'A', 'g'), '\\d+', 'D', 'g'), '#+', '#', 'g') as skeleton from customer)
+group by skeleton order by count desc, skeleton limit 10""")
+def value_skeletons(spark, d):
+    return profile.skeletons(t(spark, d, "customer"), "c_name")
 
 
 @query("\nunion all\n".join(f"""select 'url' as "column", '{n}' as pattern, count(*) filter (where regexp_matches(url, '{p.replace("'", "''")}')) as matches,
@@ -942,3 +942,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
+
+
+from . import catalog_more  # noqa: E402, F401  (registers its queries here)

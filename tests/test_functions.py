@@ -36,7 +36,7 @@ def test_levenshtein(spark, a, b, n):
 
 def test_text_forms(spark):
     assert one(spark, text.normalise(F.lit("  O'Brien,  Jörg-Peter "))) == "obrien jorg peter"
-    assert one(spark, text.shape(F.lit("AB-12--x"))) == "A-D-A"
+    assert one(spark, text.skeleton(F.lit("AB-12--x"))) == "A-D-A"
     assert one(spark, text.phonetic_key(F.lit("Robert Rupert Ashcraft"))) == "A261 R163"
     assert one(spark, text.name_words(F.lit("customerID_fooBar"))) == ["customer", "id", "foo", "bar"]
     assert one(spark, text.token_sort(F.lit("b a"), F.lit("A, B"))) == 1.0
