@@ -44,7 +44,7 @@ def numeric_profile(df: DataFrame, columns: list[str] | None = None, exact: bool
             "infinite": F.count_if(F.abs(d) == float("inf")),
             "zeros": F.count_if(d == 0),
             "negative": F.count_if(d < 0),
-            "distinct": F.count_distinct(F.when(~F.isnan(d), c)) if exact else F.approx_count_distinct(F.when(~F.isnan(d), c), 0.0081),
+            "distinct": F.lit(None).cast("long") if exact else F.approx_count_distinct(F.when(~F.isnan(d), c), 0.0081),
             "min": F.min(x),
             "max": F.max(x),
             "mean": F.avg(x),
@@ -54,7 +54,16 @@ def numeric_profile(df: DataFrame, columns: list[str] | None = None, exact: bool
         aggs += [v.alias(f"{k}_{n}") for n, v in made.items()]
         cells = {n: F.col(f"{k}_{n}") for n in made if n != "quantiles"}
         out[name] = cells | {p: F.get(F.col(f"{k}_quantiles"), F.lit(i)) for i, p in enumerate(("p25", "p50", "p75"))}
-    return long_rows(df.agg(*aggs), out)
+    made = long_rows(df.agg(*aggs), out)
+    if not exact:
+        return made
+    # counted apart, by (column, value): together with the other aggregates every row would be copied for each column
+    floating = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.FloatType, T.DoubleType))}
+    value = lambda c: F.when(~F.isnan(F.col(c).cast("double")), (F.col(c) + 0.0 if c in floating else F.col(c)).cast("string"))
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), value(c).alias("_v")) for c in columns])).alias("x")).select("x.*").where("_v is not null")
+    kinds = long.groupBy("column", "_v").agg(F.lit(1).alias("_one")).groupBy("column").agg(F.count("*").alias("_kinds"))
+    both = made.join(kinds, "column", "left")
+    return both.select(*[F.coalesce("_kinds", F.lit(0)).alias(c) if c == "distinct" else F.col(c) for c in made.columns])
 
 
 def text_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
