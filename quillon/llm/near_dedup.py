@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +25,8 @@ PARITY = 1024
 SHARED = 3
 #: Lists up to CLOSE are compared pair by pair; of lists up to PAIRED, members that are not in their hub's component are.
 CLOSE, PAIRED = 12, 64
+#: Members of an index list that one task orders together; pairs for each member from which on neighbours are linked first.
+BLOCK, MANY = 1024, 32
 SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 ONE, GOLDEN = np.uint64(1), np.uint64(0x9E3779B97F4A7C15)
 
@@ -88,7 +92,7 @@ def counter(words: int, percent: int):
     Low is what twice as long sketches would retain: where many values are common, sketches reach farther.
     """
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted_low(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
 
         def flush() -> pa.RecordBatch:
@@ -106,7 +110,7 @@ def counter(words: int, percent: int):
         if held:
             yield flush()
 
-    return count
+    return counted_low
 
 
 def sketcher(words: int, percent: int, common: np.ndarray, ranks: np.ndarray):
@@ -194,7 +198,8 @@ class NearDuplicates:
     with the fewest values that are not common, the likeliest original of a group of copies, and of some very long
     lists one by hash. Then all pairs of different components are counted over the short lists, and over the longer ones where one
     of them is not in the hub's component; those that share enough are compared. A pair that shares less in them shares
-    a very long list, whose members outside the hub's component are matched by an index of the full sets. The parity
+    a very long list, whose members outside the hub's component are matched by an index of the full sets; while its lists
+    would give many pairs, neighbours in them are linked first, since only pairs of different components count. The parity
     maps of two sets, and their sketches up to the place where both are complete, bound how much the sets differ at
     least; pairs that differ too much go, the full sets of the others decide. No link is lost.
     """
@@ -268,7 +273,9 @@ class NearDuplicates:
         named = listed.join(of("cid", "c"), "cid", "left").join(of("hub", "c_hub"), "hub", "left")
         c = F.coalesce("c", "cid")
         named = cut(named.select("v", "m", "n", "cid", c.alias("c"), (c != F.coalesce("c_hub", "hub")).alias("minor")))
-        more, n = counted(self.paired(named.where(F.col("m") <= PAIRED)).unionByName(self.indexed(named.where(F.col("m") > PAIRED))).distinct())
+        met, pairs = self.indexed(named.where(F.col("m") > PAIRED))
+        more, n = counted(self.paired(named.where(F.col("m") <= PAIRED)).unionByName(pairs).distinct())
+        links = links if met is None else links.unionByName(met)
         return links.unionByName(self.linked(more)) if n else links
 
     def paired(self, members: DataFrame) -> DataFrame:
@@ -281,31 +288,72 @@ class NearDuplicates:
         pairs = both.groupBy(F.least("cid_1", "cid_2").alias("a"), F.greatest("cid_1", "cid_2").alias("b"), need.alias("need")).agg(F.count("*").alias("x"))
         return pairs.where(F.col("x") >= F.least("need", F.lit(SHARED))).select("a", "b")
 
-    def indexed(self, members: DataFrame) -> DataFrame:
-        """Pairs of different components that share a list in which one of them is not in the hub's, and may still link.
+    def indexed(self, members: DataFrame) -> tuple[DataFrame | None, DataFrame]:
+        """Links, and pairs of different components that share a list in which one of them is not in the hub's, and may still link.
 
         The members of such lists are indexed by their full sets: ranked rarest first among them, two sets that link
         share a shingle whose rank on both sides leaves room for all that they must have in common. A copy with too many
-        shingles of its own has no such shingle, so the far members of a group of copies drop out here.
+        shingles of its own has no such shingle, so the far members of a group of copies drop out here. In each list of
+        the index, members outside its commonest component meet all others.
         """
         open_ = members.where("minor").select("v").distinct()
         each, n = counted(members.join(open_, "v", "left_semi").groupBy("cid").agg(F.any_value("c").alias("c"), F.max("minor").alias("minor")))
         if not n:
-            return each.select(F.col("cid").alias("a"), F.col("cid").alias("b"))
+            return None, each.select(F.col("cid").alias("a"), F.col("cid").alias("b"))
         sets = self.sets(each.select("cid"), n)
-        posted = cut(each.join(sets, "cid").select("cid", "c", "minor", F.size("set").alias("n"), F.explode("set").alias("v")))
+        posted = cut(each.join(sets, "cid").select("cid", "minor", F.size("set").alias("n"), F.explode("set").alias("v")))
         counts = posted.groupBy("v").agg(F.count("*").alias("df"), F.max("minor").alias("asked")).where("df > 1")
         w = Window.partitionBy("cid")
         shared = posted.join(counts, "v").withColumn("rank", F.col("n") - F.count("*").over(w) + F.row_number().over(w.orderBy("df", "v")))
-        first = cut(shared.where(F.col("asked") & (F.col("rank") <= F.col("n") - F.ceil(F.col("n") * self.percent / 100) + 1)).select("v", "cid", "c", "minor", "n", "rank"))
-        side = lambda df, x: df.select("v", *[F.col(k).alias(f"{k}_{x}") for k in ("cid", "c", "minor", "n", "rank")])
+        first = cut(shared.where(F.col("asked") & (F.col("rank") <= F.col("n") - F.ceil(F.col("n") * self.percent / 100) + 1)).select("v", "df", "cid", "minor", "n", "rank"))
+        of, links, was = each.select("cid", "c"), None, None
+        for turn in count():
+            open_, pairs, rows = self.mixed_lists(first, of, n)
+            if pairs <= MANY * rows or (was and pairs > 0.9 * was):
+                break
+            was = pairs
+            found = cut(self.linked(self.neighbours(open_, turn)))
+            links = found if links is None else links.unionByName(found)
+            side = lambda x: bounded(of, n).select(F.col("cid").alias(x), F.col("c").alias(f"c_{x}"))
+            joined = components(found.join(side("a"), "a").join(side("b"), "b").select(F.col("c_a").alias("a"), F.col("c_b").alias("b")))
+            of = cut(of.join(bounded(joined.withColumnRenamed("node", "c"), n), "c", "left").select("cid", F.coalesce("component", "c").alias("c")))
+        side = lambda df, x: df.select("v", *[F.col(k).alias(f"{k}_{x}") for k in ("cid", "c", "minor", "n", "rank", "most")])
+        # what a member can have in common bounds its partners' sizes: one none of whose ranks fits the least of them is out
+        room = F.col("n") - F.ceil(self.percent / (100 + self.percent) * (F.col("n") + F.ceil(F.col("n") * self.percent / 100)) - 1e-9) + 1
+        once = (F.col("c_2") == F.col("most_2")) | (F.col("cid_1") < F.col("cid_2"))
+        both = side(open_.where((F.col("c") != F.col("most")) & (F.col("rank") <= room)), 1).join(side(open_, 2), "v").where(once & self.meet())
+        return links, both.select(F.least("cid_1", "cid_2").alias("a"), F.greatest("cid_1", "cid_2").alias("b")).distinct()
+
+    def meet(self) -> Column:
+        """Whether two members of a list of the index, of different components, may link by their ranks in it."""
         need = F.ceil(self.percent / (100 + self.percent) * (F.col("n_1") + F.col("n_2")) - 1e-9)
         fits = lambda x: F.col(f"rank_{x}") <= F.col(f"n_{x}") - need + 1
-        # what a minor can have in common bounds its partners' sizes: a minor none of whose ranks fits the least of them is out
-        room = F.col("n") - F.ceil(self.percent / (100 + self.percent) * (F.col("n") + F.ceil(F.col("n") * self.percent / 100)) - 1e-9) + 1
-        apart = (F.col("c_1") != F.col("c_2")) & (~F.col("minor_2") | (F.col("cid_1") < F.col("cid_2")))
-        both = side(first.where("minor").where(F.col("rank") <= room), 1).join(side(first, 2), "v").where(apart & fits(1) & fits(2))
-        return both.select(F.least("cid_1", "cid_2").alias("a"), F.greatest("cid_1", "cid_2").alias("b")).distinct()
+        return (F.col("c_1") != F.col("c_2")) & (F.col("minor_1") | F.col("minor_2")) & fits(1) & fits(2)
+
+    def mixed_lists(self, first: DataFrame, of: DataFrame, n: int) -> tuple[DataFrame, int, int]:
+        """The lists of more than one component, with each member's component (c) and the list's commonest one (most);
+        the pairs that they would give at most, and their rows."""
+        named = first.join(bounded(of, n), "cid")
+        each = named.groupBy("v", "c").agg(F.count("*").alias("x")).groupBy("v").agg(F.max(F.struct("x", "c")).alias("top"), F.sum("x").alias("m"))
+        open_ = each.where("top.x < m").select("v", F.col("top.c").alias("most"), ((F.col("m") - F.col("top.x")) * F.col("m")).alias("pairs"), "m")
+        open_ = cut(open_)
+        pairs, rows = open_.agg(F.coalesce(F.sum("pairs"), F.lit(0)), F.coalesce(F.sum("m"), F.lit(0))).first()
+        return cut(named.join(open_.select("v", "most"), "v")), pairs, rows
+
+    def neighbours(self, lists: DataFrame, turn: int) -> DataFrame:
+        """Pairs (a, b) of members that stand near each other when lists are ordered by the turn's hash, a block at a time.
+
+        Only members whose rank leaves room for a partner of their own size take part.
+        """
+        order = F.xxhash64("cid", "v", F.lit(turn))
+        block = F.pmod(order, F.ceil(F.col("df") / BLOCK)).alias("block")
+        near = F.col("rank") <= F.col("n") - F.ceil(2 * F.col("n") * self.percent / (100 + self.percent) - 1e-9) + 1
+        kept = ("cid", "c", "minor", "n", "rank")
+        now = lists.where(near).select("v", block, order.alias("order"), *[F.col(k).alias(f"{k}_1") for k in kept])
+        w = Window.partitionBy("v", "block").orderBy("order", "cid_1")
+        pairs = [now.withColumns({f"{k}_2": F.lead(f"{k}_1", step).over(w) for k in kept}) for step in (1, 2, 3, 4)]
+        beside = reduce(DataFrame.unionByName, pairs).where(self.meet())
+        return beside.select(F.least("cid_1", "cid_2").alias("a"), F.greatest("cid_1", "cid_2").alias("b")).distinct()
 
     def named(self) -> DataFrame:
         """(d1, d2, component, least): of each class its component, and the smallest id of all in it."""

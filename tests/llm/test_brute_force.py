@@ -137,6 +137,27 @@ def test_near_duplicates_of_a_group_of_variants(spark):
     assert {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(df).collect()} == want
 
 
+def test_near_duplicates_by_turns_of_the_index(spark, monkeypatch):
+    """Copies of copies of one text: every list is a long one, and neighbours of the index are linked turn by turn."""
+    for name, value in {"CLOSE": 1, "PAIRED": 2, "BLOCK": 16, "MANY": 0}.items():
+        monkeypatch.setattr(near_dedup, name, value)
+    turns = []
+    monkeypatch.setattr(near_dedup.NearDuplicates, "neighbours", lambda self, lists, turn, was=near_dedup.NearDuplicates.neighbours: turns.append(turn) or was(self, lists, turn))
+    rng = random.Random(11)
+    words = [f"w{k}" for k in range(5000)]
+    copies = [rng.choices(words, k=90) for _ in range(3)]
+    while len(copies) < 150:
+        v = list(rng.choice(copies[-40:]))
+        for _ in range(rng.randint(1, 5)):
+            v[rng.randrange(len(v))] = rng.choice(words)
+        copies.append(v)
+    texts = {k: " ".join(v) for k, v in enumerate(copies)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    want, _ = brute_components(texts, 3, 85)
+    assert {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(df, words=3, percent=85).collect()} == want
+    assert turns and len(set(want.values())) > 3
+
+
 def test_decontamination_equals_brute_force(spark, docs, texts):
     items = spark.read.parquet(f"{SF}/benchmark.parquet")
     bench = {r["item_id"]: r["text"] for r in items.collect()}
