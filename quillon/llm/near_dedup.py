@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import reduce
 from itertools import count
 
 import numpy as np
@@ -314,9 +313,8 @@ class NearDuplicates:
             was = pairs
             found = cut(self.linked(self.neighbours(open_, turn)))
             links = found if links is None else links.unionByName(found)
-            side = lambda x: bounded(of, n).select(F.col("cid").alias(x), F.col("c").alias(f"c_{x}"))
-            joined = components(found.join(side("a"), "a").join(side("b"), "b").select(F.col("c_a").alias("a"), F.col("c_b").alias("b")))
-            of = cut(of.join(bounded(joined.withColumnRenamed("node", "c"), n), "c", "left").select("cid", F.coalesce("component", "c").alias("c")))
+            joined = components(found.unionByName(of.select(F.col("cid").alias("a"), F.col("c").alias("b"))))
+            of = cut(of.select("cid").join(joined, F.col("cid") == F.col("node"), "left").select("cid", F.coalesce("component", "cid").alias("c")))
         side = lambda df, x: df.select("v", *[F.col(k).alias(f"{k}_{x}") for k in ("cid", "c", "minor", "n", "rank", "most")])
         # what a member can have in common bounds its partners' sizes: one none of whose ranks fits the least of them is out
         room = F.col("n") - F.ceil(self.percent / (100 + self.percent) * (F.col("n") + F.ceil(F.col("n") * self.percent / 100)) - 1e-9) + 1
@@ -351,8 +349,8 @@ class NearDuplicates:
         kept = ("cid", "c", "minor", "n", "rank")
         now = lists.where(near).select("v", block, order.alias("order"), *[F.col(k).alias(f"{k}_1") for k in kept])
         w = Window.partitionBy("v", "block").orderBy("order", "cid_1")
-        pairs = [now.withColumns({f"{k}_2": F.lead(f"{k}_1", step).over(w) for k in kept}) for step in (1, 2, 3, 4)]
-        beside = reduce(DataFrame.unionByName, pairs).where(self.meet())
+        pairs = [now.withColumns({f"{k}_2": F.lead(f"{k}_1", step).over(w) for k in kept}) for step in (1, 2)]
+        beside = pairs[0].unionByName(pairs[1]).where(self.meet())
         return beside.select(F.least("cid_1", "cid_2").alias("a"), F.greatest("cid_1", "cid_2").alias("b")).distinct()
 
     def named(self) -> DataFrame:
