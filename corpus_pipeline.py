@@ -11,12 +11,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quillon.llm import decontamination, exact_dedup, language_id, near_dedup, packing
-from quillon.llm.common import cut, table
+from quillon.llm.common import cut, plain_reads, table
 
 LEAST_SCORE = 0.3
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    plain_reads(spark)
     return language_id.keep_identified(docs, LEAST_SCORE)
 
 

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
+from collections.abc import Callable, Iterator
 from string import ascii_lowercase, ascii_uppercase
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of (key, few short columns) that may be broadcast; a larger side is joined by a shuffle.
 BROADCAST_ROWS = 100_000
+VECTORED = "parquet.hadoop.vectored.io.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,9 +31,16 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{top.rstrip('/')}/quillon-{uuid.uuid4().hex}"
 
 
+def plain_reads(spark: SparkSession) -> None:
+    """Turns parquet's vectored reads off, unless the session says otherwise: each thread that has done one keeps a direct buffer as large as its largest range, outside the heap."""
+    if spark.conf.get(VECTORED, None) is None:
+        spark.conf.set(VECTORED, "false")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df as a table written to the shared folder: its lineage ends there, and a lost executor costs no recomputation."""
     spark, path = df.sparkSession, shared_dir(df.sparkSession)
+    plain_reads(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -58,6 +69,18 @@ def short_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
     return df
 
 
+def tidy(task: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """task over batches, after which its Python worker gives back what allocators still hold: workers stay for later tasks."""
+
+    def run(batches: Iterator) -> Iterator:
+        yield from task(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc
+            trim(0)
+
+    return run
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z lower-cased and nothing else; Spark's lower() does the same, faster, where all is ASCII."""
     return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(F.translate(c, ascii_uppercase, ascii_lowercase))

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, bloom_build, bloom_pass, bloom_size, cut, plain
+from .common import ascii_lower, bloom_build, bloom_pass, bloom_size, cut, plain, tidy
 
 #: Fingerprints of one partition that are sorted and sent together; bounds the memory of the sender.
 CHUNK = 1 << 19
@@ -101,9 +101,9 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     fp = F.shiftrightunsigned(F.xxhash64("norm"), 64 - bits)
     known = cut(rows.select("doc_id", F.sha2("norm", 256).alias("text_sha256"), fp.alias("fp")))
 
-    sent = cut(known.select("fp").mapInPandas(sender(bits, owner_bits), SENT))
-    back = sent.groupBy("owner").applyInPandas(bitmaps, "chunk string, owner int, bitmap binary")
-    marked = cut(sent.join(back, ["chunk", "owner"]).mapInPandas(suspects(1 << (bits - owner_bits)), "fp long").distinct())
+    sent = cut(known.select("fp").mapInPandas(tidy(sender(bits, owner_bits)), SENT))
+    back = cut(sent.groupBy("owner").applyInPandas(bitmaps, "chunk string, owner int, bitmap binary"))  # one Python worker for a task
+    marked = cut(sent.join(back, ["chunk", "owner"]).mapInPandas(tidy(suspects(1 << (bits - owner_bits))), "fp long").distinct())
 
     blocks = bloom_size(marked.count())
     may = bloom_pass(rows.withColumn("fp", fp), "fp", bloom_build(marked, "fp", blocks), blocks)

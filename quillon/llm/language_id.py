@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drawn, plain, short_batches, small
+from .common import drawn, plain, short_batches, small, tidy
 
 #: The training sample: about how many documents of each language, passages of each document, characters of each passage.
 SAMPLE_DOCS, SAMPLE_PASSAGES, SAMPLE_CHARS = 300, 4, 96
@@ -185,7 +185,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     """
     rows = plain(docs, doc_id=F.col(id_col).cast("long"), text=text_col, lang=lang_col)
     net = train(sample(rows))
-    return short_batches(rows.select("doc_id", "text", held_out().alias("held_out"))).mapInPandas(predictor(net), "doc_id long, held_out boolean, lang_pred string, score double, position_share double")
+    return short_batches(rows.select("doc_id", "text", held_out().alias("held_out"))).mapInPandas(tidy(predictor(net)), "doc_id long, held_out boolean, lang_pred string, score double, position_share double")
 
 
 def keep_identified(docs: DataFrame, least: float, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -202,4 +202,4 @@ def keep_identified(docs: DataFrame, least: float, id_col: str = "doc_id", text_
                     sure[told] = pooled(net, [t.encode() for t in part if t is not None])[0].max(0) >= least
                 yield batch.slice(lo, len(part)).filter(sure)
 
-    return short_batches(docs).mapInArrow(kept, docs.schema)
+    return short_batches(docs).mapInArrow(tidy(kept), docs.schema)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, bloom_build, bloom_pass, bloom_size, bounded, counted, cut, plain, row_names, small
+from .common import BROADCAST_ROWS, bloom_build, bloom_pass, bloom_size, bounded, counted, cut, plain, row_names, small, tidy
 
 #: Bytes of text that are hashed together, shingles that are counted together.
 TOGETHER, CHUNK = 1 << 18, 1 << 21
@@ -207,11 +207,11 @@ class NearDuplicates:
         self.words, self.percent = words, percent
         text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
         self.docs = plain(docs, doc_id=id_col, text=text, **row_names(text))
-        counts = self.docs.select("text").mapInArrow(counter(words, percent), "v long, n long").groupBy("v").agg(F.sum("n").alias("n"))
+        counts = self.docs.select("text").mapInArrow(tidy(counter(words, percent)), "v long, n long").groupBy("v").agg(F.sum("n").alias("n"))
         common = counts.orderBy(F.desc("n"), "v").limit(MOST_COMMON).select("v").toArrow().column("v").to_numpy()[::-1]
         place = np.argsort(common)
         kind = self.docs.schema["doc_id"].dataType.simpleString()
-        self.rows = cut(self.docs.mapInArrow(sketcher(words, percent, common[place], place), f"doc_id {kind}, t1 long, t2 long, n int, own int, d1 long, d2 long, sketch array<long>, parity array<long>"))
+        self.rows = cut(self.docs.mapInArrow(tidy(sketcher(words, percent, common[place], place)), f"doc_id {kind}, t1 long, t2 long, n int, own int, d1 long, d2 long, sketch array<long>, parity array<long>"))
         each = self.rows.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("first"), F.min(F.struct("t1", "t2")).alias("t"), *[F.any_value(c).alias(c) for c in ("n", "own", "sketch", "parity")])
         self.classes = cut(each.select(F.monotonically_increasing_id().alias("cid"), "d1", "d2", "first", "t.*", "n", "own", "sketch", "parity"))
 
@@ -259,7 +259,7 @@ class NearDuplicates:
             ids, n = counted(ids)
             hashes, blocks = ids.select(F.col("t1").alias("h")), bloom_size(n)
             texts = bloom_pass(texts.withColumn("h", F.col("t1")), "h", bloom_build(hashes, "h", blocks), blocks).drop("h")
-        made = texts.join(bounded(ids, most), ["t1", "t2"]).select("cid", "text").mapInArrow(setter(self.words), "cid long, set array<long>")
+        made = texts.join(bounded(ids, most), ["t1", "t2"]).select("cid", "text").mapInArrow(tidy(setter(self.words)), "cid long, set array<long>")
         return cut(made.groupBy("cid").agg(F.any_value("set").alias("set")))
 
     def links(self) -> DataFrame:

@@ -10,13 +10,16 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, plain, short_batches, small
+from .common import cut, plain, short_batches, small, tidy
 
 END_OF_DOCUMENT = 2
 PIECE = "doc_id long, piece int, start long, length int, ids_crc32 long"
+#: Runs of the plan, as best_fit_decreasing gives them.
+PLAN = pa.schema([("length", pa.int32()), *((k, pa.int64()) for k in ("first", "n", "each", "bin", "base"))])
 
 
 class OpenBins:
@@ -147,14 +150,16 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     `capacity` numbers); each piece finds its place by its rank among those of its length.
     """
     rows = plain(docs, doc_id=F.col(id_col).cast("long"), text=F.coalesce(F.col(text_col), F.lit("")))
-    made = cut(short_batches(rows).mapInPandas(pieces(capacity, vocabulary, ranks, with_ids), PIECE + ", ids array<int>" * with_ids))
+    made = cut(short_batches(rows).mapInPandas(tidy(pieces(capacity, vocabulary, ranks, with_ids)), PIECE + ", ids array<int>" * with_ids))
     buckets = max(16, made.count() // 200_000)
     made = made.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)).cast("int"))
     shares = cut(made.groupBy("length", "bucket").agg(F.count("*").alias("n")))
     counts = {r["length"]: r["n"] for r in shares.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     shares = shares.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    runs = docs.sparkSession.createDataFrame(best_fit_decreasing(counts, capacity), "length int, first long, n long, each long, bin long, base long")
+    plan = best_fit_decreasing(counts, capacity)
+    runs = pa.table({k: [r[i] for r in plan] for i, k in enumerate(PLAN.names)}, PLAN)
+    runs = docs.sparkSession.createDataFrame(runs)  # a list would go through Python workers of a kind of their own, which then stay
 
     order = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")
     ranked = made.withColumn("rank", F.row_number().over(order) - 1).join(small(shares), ["length", "bucket"]).withColumn("rank", F.col("rank") + F.col("before"))
