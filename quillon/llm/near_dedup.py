@@ -310,7 +310,7 @@ class NearDuplicates:
             open_, pairs, rows = self.mixed_lists(first, of, n)
             if pairs <= MANY * rows or (was and pairs > 0.9 * was):
                 break
-            was = pairs
+            was, first = pairs, open_.drop("c", "most")  # components only grow together, so a list of one stays that
             found = cut(self.linked(self.neighbours(open_, turn)))
             links = found if links is None else links.unionByName(found)
             joined = components(found.unionByName(of.select(F.col("cid").alias("a"), F.col("c").alias("b"))))
@@ -331,7 +331,7 @@ class NearDuplicates:
     def mixed_lists(self, first: DataFrame, of: DataFrame, n: int) -> tuple[DataFrame, int, int]:
         """The lists of more than one component, with each member's component (c) and the list's commonest one (most);
         the pairs that they would give at most, and their rows."""
-        named = first.join(bounded(of, n), "cid")
+        named = cut(first.join(bounded(of, n), "cid"))
         each = named.groupBy("v", "c").agg(F.count("*").alias("x")).groupBy("v").agg(F.max(F.struct("x", "c")).alias("top"), F.sum("x").alias("m"))
         open_ = each.where("top.x < m").select("v", F.col("top.c").alias("most"), ((F.col("m") - F.col("top.x")) * F.col("m")).alias("pairs"), "m")
         open_ = cut(open_)

@@ -1,4 +1,4 @@
-"""What operators leave with an executor for the stages after them."""
+"""What operators leave with an executor for the stages after them, and what they compute once only."""
 
 import gc
 import re
@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quillon.llm import common, exact_dedup, packing
+from quillon.llm import common, exact_dedup, near_dedup, packing
 
 
 @pytest.fixture
@@ -74,3 +74,13 @@ def test_stages_read_without_direct_buffers(spark, docs):
         spark.conf.unset(common.VECTORED)
         if was is not None:
             spark.conf.set(common.VECTORED, was)
+
+
+def test_lists_of_the_index_are_named_once_a_turn(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(near_dedup, "cut", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or common.cut(df))
+    first = spark.createDataFrame([(v, 3, cid, True, 9, 1) for v, cids in ((1, (1, 2, 3)), (2, (1, 2)), (3, (3, 4, 5))) for cid in cids], "v long, df long, cid long, minor boolean, n int, rank int")
+    of = spark.createDataFrame([(1, 1), (2, 1), (3, 1), (4, 4), (5, 4)], "cid long, c long")
+    open_, pairs, rows = near_dedup.NearDuplicates.mixed_lists(None, first, of, 5)
+    assert {(r.v, r.cid, r.c, r.most) for r in open_.collect()} == {(3, 3, 1, 4), (3, 4, 4, 4), (3, 5, 4, 4)} and (pairs, rows) == (3, 3)
+    assert sum(len(re.findall(r"Join Inner, \(cid#", p)) for p in plans) == 1
