@@ -9,6 +9,8 @@ from ..functions.guards import finite, ratio
 from ..functions.numbers import chi2_sf
 from ..functions.text import PATTERNS
 from .profile import numeric_profile
+from .ranges import running
+from .resolve import written
 
 # Thresholds of the drift rules.
 LIMITS = {
@@ -58,15 +60,9 @@ def ks(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
     """
     both = tagged(a, b, column).select(finite(F.col("v")).alias("v"), "side").where("v is not null")
     counts = both.groupBy("v").agg(F.count_if(F.expr("side = 0")).alias("n0"), F.count_if(F.expr("side = 1")).alias("n1"))
-    ranged = counts.repartitionByRange("v").withColumn("p", F.spark_partition_id())
-    upto = Window.partitionBy("p").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    parts = ranged.groupBy("p").agg(F.sum("n0").alias("s0"), F.sum("n1").alias("s1"))
-    before = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.partitionBy()
-    parts = parts.select("p", F.coalesce(F.sum("s0").over(before), F.lit(0)).alias("b0"), F.coalesce(F.sum("s1").over(before), F.lit(0)).alias("b1"), F.sum("s0").over(every).alias("all0"), F.sum("s1").over(every).alias("all1"))
-    f = ranged.withColumn("c0", F.sum("n0").over(upto)).withColumn("c1", F.sum("n1").over(upto)).join(F.broadcast(parts), "p")
-    gap = F.abs(F.try_divide(F.col("c0") + F.col("b0"), F.col("all0")) - F.try_divide(F.col("c1") + F.col("b1"), F.col("all1")))
-    return f.agg(F.coalesce(F.max(gap), F.lit(0.0)).alias("ks"), F.max("all0").alias("n_a"), F.max("all1").alias("n_b"))
+    f = running(written(counts), ["v"], ["n0", "n1"])
+    gap = F.abs(F.try_divide(F.col("before_n0") + F.col("n0"), F.col("all_n0")) - F.try_divide(F.col("before_n1") + F.col("n1"), F.col("all_n1")))
+    return f.agg(F.coalesce(F.max(gap), F.lit(0.0)).alias("ks"), F.max("all_n0").alias("n_a"), F.max("all_n1").alias("n_b"))
 
 
 def chi_squared(a: DataFrame, b: DataFrame, column: str) -> DataFrame:

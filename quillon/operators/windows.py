@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import microseconds
 from ..functions.guards import finite
+from .ranges import ranged
 
 
 def group_order(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -106,7 +107,7 @@ def temporal_evidence(df: DataFrame, time: str, arrival: str) -> DataFrame:
 
     The lag runs within ranges of the arrival order; each range's last time goes to the next as one row.
     """
-    ordered = df.where(F.col(time).isNotNull()).select(F.col(arrival).alias("a"), F.unix_micros(F.col(time).cast("timestamp")).alias("t")).repartitionByRange("a").withColumn("p", F.spark_partition_id())
+    ordered = ranged(df.where(F.col(time).isNotNull()).select(F.col(arrival).alias("a"), F.unix_micros(F.col(time).cast("timestamp")).alias("t")), ["a"], "p")
     ends = ordered.groupBy("p").agg(F.max_by("t", "a").alias("last")).withColumn("before", F.lag("last").over(Window.orderBy("p")))
     w = Window.partitionBy("p").orderBy("a")
     d = ordered.join(F.broadcast(ends.select("p", "before")), "p").withColumn("d", F.col("t") - F.coalesce(F.lag("t").over(w), F.col("before")))
