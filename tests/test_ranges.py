@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from quillon.operators import relational
 from quillon.operators.defects import Defect, plant
 
 
@@ -18,6 +19,13 @@ def uneven(spark):
         spark.conf.set(k, v)
 
 
+def test_numbers_are_dense(uneven):
+    n = 30_000
+    df = uneven.range(n).select((F.col("id") * 7919 % n).alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("wide"))
+    out, want = relational.dimension(df, "k", "k"), df.select((F.col("k") + 1).alias("sk_k"), "k", "wide")
+    assert out.exceptAll(want).count() == want.exceptAll(out).count() == 0
+
+
 def test_shuffled_column_keeps_all_rows(uneven):
     n = 30_000
     df = uneven.range(n).select(F.col("id").alias("k"), (F.col("id") * 7919 % n / 2).alias("x"), F.sha2(F.col("id").cast("string"), 256).alias("v"))
