@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import fold, ngrams, normalise, similarity, words
 
-THRESHOLD, MAX_BLOCK = 0.85, 500
+THRESHOLD, MAX_BLOCK, GROUP = 0.85, 500, 1000
 
 
 def block_keys(column: str, how: str, n: int = 3) -> Column:
@@ -20,13 +20,29 @@ def block_keys(column: str, how: str, n: int = 3) -> Column:
     return F.array_distinct(F.filter(F.transform(some, lambda k: F.concat(F.lit(f"{how}:{column}:"), k)), lambda k: k.isNotNull() & (k != f"{how}:{column}:")))
 
 
-def candidate_pairs(df: DataFrame, key: str, rules: list[tuple[str, str]], max_block: int = MAX_BLOCK) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a < b) that share a key in a block of at most max_block rows, and the blocks left out for their size."""
-    keyed = df.select(F.col(key).alias("id"), F.explode(F.array_distinct(F.concat(*[block_keys(c, how) for c, how in rules]))).alias("block"))
+def candidate_pairs(df: DataFrame, key: str, rules: list[tuple[str, str]], max_block: int | None = MAX_BLOCK) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a < b) that share a key in a block of at most max_block rows (None: any), and the blocks left out for their size.
+
+    A pair is made in the least of the blocks that it shares, so pairs needn't be told apart afterwards. Rows of a large
+    block are dealt into groups of about GROUP, and each two groups meet in a task of their own.
+    """
+    keyed = df.select(F.col(key).alias("id"), F.explode(F.array_distinct(F.concat(*[block_keys(c, how) for c, how in rules]))).alias("block")).distinct()
     sizes = keyed.groupBy("block").agg(F.count("*").alias("n"))
-    used = keyed.join(sizes.where((F.col("n") > 1) & (F.col("n") <= max_block)).select("block"), "block", "left_semi")
-    pairs = used.select(F.col("id").alias("a"), "block").join(used.select(F.col("id").alias("b"), "block"), "block").where("a < b").select("a", "b").distinct()
-    return pairs, sizes.where(F.col("n") > max_block)
+    used = keyed.join(sizes.where((F.col("n") > 1) & (F.col("n") <= max_block if max_block is not None else F.lit(True))), "block")
+    used = used.withColumn("groups", F.ceil(F.col("n") / GROUP).cast("int")).drop("n")
+    blocks = used.groupBy("id").agg(F.collect_list(F.struct("block", "groups")).alias("all"))
+    rows = blocks.select("id", F.transform("all", lambda x: x["block"]).alias("blocks"), F.explode("all").alias("x")).select("id", "blocks", "x.block", "x.groups")
+    own = F.pmod(F.xxhash64("id"), F.col("groups").cast("long")).cast("int")
+    others = F.sequence(F.lit(0), F.col("groups") - 1)
+    # a row goes to every pair of groups that its own is in; within the pair its group says which rows it has yet to meet
+    meets = F.transform(others, lambda g: F.struct(F.least(own, g).alias("low"), F.greatest(own, g).alias("high")))
+    dealt = rows.select("id", "blocks", "block", own.alias("own"), F.explode(meets).alias("m")).select("id", "blocks", "block", "own", "m.low", "m.high")
+    a = dealt.select(F.col("id").alias("a"), F.col("blocks").alias("_a"), "block", "low", "high", F.col("own").alias("_g"))
+    b = dealt.select(F.col("id").alias("b"), F.col("blocks").alias("_b"), "block", "low", "high", F.col("own").alias("_h"))
+    once = (F.col("low") == F.col("high")) | (F.col("_g") != F.col("_h"))
+    least = F.when((F.size("_a") == 1) | (F.size("_b") == 1), True).otherwise(F.array_min(F.array_intersect("_a", "_b")) == F.col("block"))
+    pairs = a.join(b, ["block", "low", "high"]).where((F.col("a") < F.col("b")) & once & least).select("a", "b")
+    return pairs, sizes.where(F.col("n") > max_block) if max_block is not None else sizes.where("false")
 
 
 def score(df: DataFrame, key: str, pairs: DataFrame, fields: dict[str, tuple[str, float]]) -> DataFrame:

@@ -740,7 +740,8 @@ def people(spark, d):
 @query("""with k as (select c_custkey as id, c_nationkey || c_mktsegment || floor(c_acctbal / 100)::int as block from customer) select a.id as a, b.id as b from k a join k b on a.block = b.block and a.id < b.id""")
 def blocked_pairs(spark, d):
     c = t(spark, d, "customer").select("c_custkey", F.concat(F.col("c_nationkey").cast("string"), "c_mktsegment", F.floor(F.col("c_acctbal") / 100).cast("int").cast("string")).alias("block"))
-    return resolve.candidate_pairs(c, "c_custkey", [("block", "key")])[0]
+    # every block, as in the SQL: its size has no limit there
+    return resolve.candidate_pairs(c, "c_custkey", [("block", "key")], max_block=None)[0]
 
 
 @query("""select c_custkey as id, case when c_custkey = 0 then 0 when c_custkey % 5 = 0 and c_custkey > 0 then c_custkey - 4 else c_custkey - (c_custkey % 5) + 1 end as cluster from customer""")
