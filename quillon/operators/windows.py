@@ -9,6 +9,9 @@ from ..functions.dates import microseconds
 from ..functions.guards import finite
 from .ranges import ranged
 
+#: Groups whose means may be broadcast.
+MEANS = 100_000
+
 
 def group_order(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """df with group_rank (from 0), group_size and is_first per group in that order; null is one group."""
@@ -72,10 +75,24 @@ def lag_autocorrelation(df: DataFrame, value: str, time: str, lag: int, by: list
     """Sum of products of deviations a lag apart, over the sum of squares, about the mean of all; null if the series is too short."""
     by = by or []
     rows = df.select(*by, F.col(time).alias("t"), finite(F.col(value)).alias("x")).where("x is not null")
-    w = Window.partitionBy(*by)
-    rows = rows.withColumn("e", F.col("x") - F.avg("x").over(w))
-    rows = rows.withColumn("p", F.col("e") * F.lag("e", lag).over(w.orderBy("t")))
-    made = rows.groupBy(*by).agg(F.count("*").alias("n"), F.sum("p").alias("p"), F.sum(F.col("e") * F.col("e")).alias("s"))
+    own = [F.col(c).alias(f"_m_{c}") for c in by]
+    means = rows.groupBy(*by).agg(F.avg("x").alias("_m")).select(*own, "_m")
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_m_{c}"))
+    # one row without groups; a long list of groups is joined by a shuffle
+    few = not by or means.limit(MEANS + 1).count() <= MEANS
+    rows = ranged(rows, [*by, "t"]).join(F.broadcast(means) if few else means, same).withColumn("e", F.col("x") - F.col("_m"))
+    w = Window.partitionBy("_p", *by)
+    near = rows.select(*by, "_p", "t", "e", F.lag("e", lag).over(w.orderBy("t")).alias("before"), F.row_number().over(w.orderBy("t")).alias("r"), F.count("*").over(w).alias("n"))
+    inner = near.groupBy(*by).agg(F.count("*").alias("n"), F.sum(F.col("e") * F.col("before")).alias("p"), F.sum(F.col("e") * F.col("e")).alias("s"))
+    # the first rows of a range meet the last ones of the ranges before: the ends of ranges are a series of their own
+    ends = near.where((F.col("r") <= lag) | (F.col("r") > F.col("n") - lag))
+    across = ends.withColumn("before", F.lag("e", lag).over(Window.partitionBy(*by).orderBy("_p", "r"))).where(F.col("r") <= lag)
+    outer = across.groupBy(*by).agg(F.lit(0).cast("long").alias("n"), F.sum(F.col("e") * F.col("before")).alias("p"), F.lit(0.0).alias("s"))
+    made = inner.unionByName(outer).groupBy(*by).agg(F.sum("n").alias("n"), F.sum("p").alias("p"), F.sum("s").alias("s"))
+    if not by:
+        made = made.withColumn("n", F.coalesce("n", F.lit(0)))
     return made.select(*by, "n", F.when(F.col("n") > lag, F.when(F.col("s") == 0, constant).otherwise(F.try_divide("p", "s"))).alias("autocorrelation"))
 
 

@@ -30,3 +30,28 @@ def test_pairs_of_several_blocks_come_once(spark, monkeypatch):
     got = [tuple(r) for r in pairs.collect()]
     assert len(got) == len(set(got)) and set(got) == want
     assert {r["block"] for r in left.collect()} == {k for k, ids in keys.items() if len(ids) > 18}
+
+
+@pytest.mark.parametrize("lag", [1, 3, 40])
+def test_lag_across_ranges(spark, lag):
+    rng = np.random.default_rng(5)
+    df = pd.DataFrame({"g": [None if k % 4 == 3 else "ab"[k % 4 % 2] for k in range(900)], "t": rng.permutation(900), "x": rng.normal(50, 1, 900).cumsum()})
+    s = spark.createDataFrame(df.astype({"g": object}), "g string, t bigint, x double").repartition(7)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "50")
+    got = {r["g"]: (r["n"], r["autocorrelation"]) for r in windows.lag_autocorrelation(s, "x", "t", lag, ["g"]).collect()}
+    plan = windows.lag_autocorrelation(s, "x", "t", lag, ["g"])._jdf.queryExecution().optimizedPlan().toString()
+    whole = windows.lag_autocorrelation(s, "x", "t", lag).first()
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+    def known(x):
+        e = x - x.mean()
+        return len(x), (e[lag:] * e[:-lag]).sum() / (e * e).sum()
+
+    for g, part in df.sort_values("t").groupby("g", dropna=False):
+        n, r = known(part["x"].to_numpy())
+        k = None if pd.isna(g) else g
+        assert got[k][0] == n and got[k][1] == pytest.approx(r, abs=1e-9)
+    n, r = known(df.sort_values("t")["x"].to_numpy())
+    assert whole["n"] == n and whole["autocorrelation"] == pytest.approx(r, abs=1e-9)
+    assert "_p" in plan  # groups are worked through in ranges
