@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.guards import finite, pearson
+from .ranges import one_row
 
 
 def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -114,8 +115,7 @@ def conditional_means(df: DataFrame, category: str, value: str, least: int = 20)
 def quantile_codes(df: DataFrame, column: str, bins: int = 10) -> DataFrame:
     """df with code_<column>: the number of distinct interior quantile edges that are not above the value; -1 where missing."""
     x = finite(F.col(column))
-    edges = F.array_distinct(F.percentile(x, F.array(*[F.lit(k / bins) for k in range(1, bins)])))
-    row = df.agg(edges.alias("_edges"))
+    row = one_row(df, column, [k / bins for k in range(1, bins)], "_edges").select(F.array_distinct("_edges").alias("_edges"))
     code = F.size(F.filter("_edges", lambda e: e <= x))
     return df.crossJoin(F.broadcast(row)).withColumn(f"code_{column}", F.when(x.isNull(), -1).otherwise(code)).drop("_edges")
 

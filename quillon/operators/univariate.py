@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.guards import finite, ratio
 from ..functions.numbers import normal_cdf
+from .ranges import one_row
 
 
 def numbers(df: DataFrame, column: str) -> DataFrame:
@@ -68,12 +69,12 @@ def placeholders(df: DataFrame, column: str, spike: float = 0.2) -> DataFrame:
 def fit(df: DataFrame, column: str) -> DataFrame:
     """Normal, uniform, exponential and lognormal laws with the data's moments: family, a, b, ks, smallest first.
 
-    The distance is taken over percentiles of the data, so one aggregation gives all.
+    The distance is taken over exact percentiles of the data.
     """
     x = numbers(df, column)
     grid = [k / 100 for k in range(1, 100)]
     positive = F.when(F.col("x") > 0, F.log("x"))
-    row = x.agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s"), F.min("x").alias("lo"), F.max("x").alias("hi"), F.avg(positive).alias("lm"), F.stddev_pop(positive).alias("ls"), F.percentile("x", F.array(*map(F.lit, grid))).alias("q"))
+    row = x.agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s"), F.min("x").alias("lo"), F.max("x").alias("hi"), F.avg(positive).alias("lm"), F.stddev_pop(positive).alias("ls")).crossJoin(F.broadcast(one_row(x, "x", grid, "q")))
     cells = row.select("*", F.posexplode("q").alias("k", "v")).withColumn("p", (F.col("k") + 1) / 100.0)
     z = lambda v, m, s: F.try_divide(v - m, s)
     laws = {
@@ -89,7 +90,7 @@ def fit(df: DataFrame, column: str) -> DataFrame:
 def outliers_iqr(df: DataFrame, column: str, factor: float = 1.5) -> DataFrame:
     """Values beyond the quartiles by more than that many interquartile ranges: n, outliers, low, high."""
     x = numbers(df, column)
-    q = x.agg(F.percentile("x", F.array(F.lit(0.25), F.lit(0.75))).alias("q")).select((F.get("q", F.lit(0)) - factor * (F.get("q", F.lit(1)) - F.get("q", F.lit(0)))).alias("low"), (F.get("q", F.lit(1)) + factor * (F.get("q", F.lit(1)) - F.get("q", F.lit(0)))).alias("high"))
+    q = one_row(x, "x", [0.25, 0.75], "q").select((F.get("q", F.lit(0)) - factor * (F.get("q", F.lit(1)) - F.get("q", F.lit(0)))).alias("low"), (F.get("q", F.lit(1)) + factor * (F.get("q", F.lit(1)) - F.get("q", F.lit(0)))).alias("high"))
     return x.crossJoin(F.broadcast(q)).agg(F.count("*").alias("n"), F.count_if(F.expr("x < low or x > high")).alias("outliers"), F.first("low").alias("low"), F.first("high").alias("high"))
 
 
