@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 
 from ..functions.guards import NUMERIC, finite, pearson, ratio
 from ..functions.text import PATTERNS, skeleton
+from .ranges import count_quantiles, one_row
+from .resolve import written
 
 GRID = [0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99]
 
@@ -26,17 +28,17 @@ def long_rows(row: DataFrame, structs: dict[str, dict[str, Column]]) -> DataFram
     return row.select(F.explode(rows).alias("x")).select("x.*")
 
 
-def numeric_profile(df: DataFrame, columns: list[str] | None = None, exact: bool = True) -> DataFrame:
+def numeric_profile(df: DataFrame, columns: list[str] | None = None, exact: bool = True, quantiles: bool = True) -> DataFrame:
     """Per numeric column: rows, nulls, nans, infinite, zeros, negative, distinct, min, max, mean, sd, p25, p50, p75.
 
-    Moments and quantiles are of finite values; the quantiles interpolate linearly in exact mode.
+    Moments and quantiles are of finite values; the quantiles interpolate linearly in exact mode, and are null if not asked for.
     """
     columns = columns or columns_of(df, NUMERIC)
     aggs, out = [], {}
     for k, name in enumerate(columns):
         c, x = F.col(name), finite(F.col(name))
         d = c.cast("double")
-        quantile = F.percentile(x, F.array(*map(F.lit, (0.25, 0.5, 0.75)))) if exact else F.percentile_approx(x, [0.25, 0.5, 0.75], 10_000)
+        quantile = F.lit(None).cast("array<double>") if exact else F.percentile_approx(x, [0.25, 0.5, 0.75], 10_000)
         made = {
             "rows": F.count(F.lit(1)),
             "nulls": F.count_if(c.isNull()),
@@ -57,13 +59,26 @@ def numeric_profile(df: DataFrame, columns: list[str] | None = None, exact: bool
     made = long_rows(df.agg(*aggs), out)
     if not exact:
         return made
-    # counted apart, by (column, value): together with the other aggregates every row would be copied for each column
-    floating = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.FloatType, T.DoubleType))}
-    value = lambda c: F.when(~F.isnan(F.col(c).cast("double")), (F.col(c) + 0.0 if c in floating else F.col(c)).cast("string"))
-    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), value(c).alias("_v")) for c in columns])).alias("x")).select("x.*").where("_v is not null")
-    kinds = long.groupBy("column", "_v").agg(F.lit(1).alias("_one")).groupBy("column").agg(F.count("*").alias("_kinds"))
+    # counted apart, by (column, value): together with the other aggregates every row would be copied for each column.
+    # Numbers that a double can't tell apart keep their text
+    def told(c: str) -> Column:
+        kind = df.schema[c].dataType
+        if isinstance(kind, T.DecimalType):
+            return F.col(c).cast("string")
+        return F.when((F.col(c) > 2**53) | (F.col(c) < -(2**53)), F.col(c).cast("string")) if isinstance(kind, T.LongType) else F.lit(None).cast("string")
+
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), (F.col(c).cast("double") + 0.0).alias("v"), told(c).alias("_s")) for c in columns])
+    long = df.select(F.explode(cells).alias("x")).select("x.*").where("v is not null and not isnan(v)")
+    counts = written(long.groupBy("column", "v", "_s").agg(F.count("*").alias("n")))
+    kinds = counts.groupBy("column").agg(F.count("*").alias("_kinds"))
     both = made.join(kinds, "column", "left")
-    return both.select(*[F.coalesce("_kinds", F.lit(0)).alias(c) if c == "distinct" else F.col(c) for c in made.columns])
+    if quantiles:
+        finite_ = counts.where(F.abs("v") < float("inf")).groupBy("column", "v").agg(F.sum("n").alias("n"))
+        both = both.join(count_quantiles(finite_, [0.25, 0.5, 0.75]).withColumnRenamed("q", "_q"), "column", "left")
+        of = {p: F.get("_q", F.lit(i)).alias(p) for i, p in enumerate(("p25", "p50", "p75"))}
+    else:
+        of = {}
+    return both.select(*[F.coalesce("_kinds", F.lit(0)).alias(c) if c == "distinct" else of.get(c, F.col(c)) for c in made.columns])
 
 
 def text_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -121,9 +136,8 @@ def length_profile(df: DataFrame, column: str) -> DataFrame:
     """Lengths of an array or map column: min, max, mean, sd (population), p50, p95, nulls, empty, null_elements."""
     c = F.col(column)
     n = F.when(c.isNotNull(), F.size(c))
-    q = F.percentile(n, F.array(F.lit(0.5), F.lit(0.95)))
     elements = F.sum(F.size(F.filter(c, lambda x: x.isNull()))) if isinstance(df.schema[column].dataType, T.ArrayType) else F.lit(0)
-    return df.agg(F.min(n).alias("min"), F.max(n).alias("max"), F.avg(n).alias("mean"), F.stddev_pop(n).alias("sd"), q.alias("q"), F.count_if(c.isNull()).alias("nulls"), F.count_if(n == 0).alias("empty"), elements.alias("null_elements")).select(
+    return df.agg(F.min(n).alias("min"), F.max(n).alias("max"), F.avg(n).alias("mean"), F.stddev_pop(n).alias("sd"), F.count_if(c.isNull()).alias("nulls"), F.count_if(n == 0).alias("empty"), elements.alias("null_elements")).crossJoin(one_row(df.select(n.alias("n")), "n", [0.5, 0.95], "q")).select(
         "min", "max", "mean", "sd", F.get("q", F.lit(0)).alias("p50"), F.get("q", F.lit(1)).alias("p95"), "nulls", "empty", "null_elements"
     )
 

@@ -46,3 +46,11 @@ def test_fit_keeps_no_values(many, no_percentile):
     assert out["uniform"] == pytest.approx(np.abs((q - x.min()) / (x.max() - x.min()) - p).max(), abs=1e-9)
     assert univariate.outliers_iqr(df, "x").first()["n"] == 3_000
     assert joint.quantile_codes(df, "x").count() == 3_003
+
+
+def test_profile_keeps_no_values(many, no_percentile):
+    x, df = numbers(many)
+    df = df.withColumn("big", F.lit(2**60) + F.monotonically_increasing_id() % 3).withColumn("none", F.lit(None).cast("int"))
+    out = {r["column"]: r for r in profile.numeric_profile(df).collect()}
+    assert np.allclose([out["x"][p] for p in ("p25", "p50", "p75")], np.quantile(x, [0.25, 0.5, 0.75]))
+    assert out["x"]["distinct"] == len(set(x)) + 1 and out["big"]["distinct"] == 3 and out["none"]["distinct"] == 0 and out["none"]["p50"] is None
