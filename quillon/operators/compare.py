@@ -9,7 +9,7 @@ from ..functions.guards import finite, ratio
 from ..functions.numbers import chi2_sf
 from ..functions.text import PATTERNS
 from .profile import numeric_profile
-from .ranges import running
+from .ranges import one_row, running
 from .resolve import written
 
 # Thresholds of the drift rules.
@@ -136,10 +136,8 @@ def total_variation(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
 
 def quantile_gap(a: DataFrame, b: DataFrame, column: str, grid: tuple[float, ...] = (0.05, 0.25, 0.5, 0.75, 0.95)) -> DataFrame:
     """The largest gap between quantiles, over the first sample's range."""
-    q = F.array(*map(F.lit, grid))
     x = finite(F.col(column))
-    left = a.agg(F.percentile(x, q).alias("qa"), (F.max(x) - F.min(x)).alias("span"))
-    both = left.crossJoin(b.agg(F.percentile(x, q).alias("qb")))
+    both = a.agg((F.max(x) - F.min(x)).alias("span")).crossJoin(one_row(a, column, list(grid), "qa")).crossJoin(one_row(b, column, list(grid), "qb"))
     return both.select(F.try_divide(F.array_max(F.zip_with("qa", "qb", lambda u, v: F.abs(u - v))), F.col("span")).alias("gap"))
 
 

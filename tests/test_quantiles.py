@@ -54,3 +54,10 @@ def test_profile_keeps_no_values(many, no_percentile):
     out = {r["column"]: r for r in profile.numeric_profile(df).collect()}
     assert np.allclose([out["x"][p] for p in ("p25", "p50", "p75")], np.quantile(x, [0.25, 0.5, 0.75]))
     assert out["x"]["distinct"] == len(set(x)) + 1 and out["big"]["distinct"] == 3 and out["none"]["distinct"] == 0 and out["none"]["p50"] is None
+
+
+def test_gap_keeps_no_values(many, no_percentile):
+    x, df = numbers(many)
+    other = df.withColumn("x", F.col("x") * 2 + 1)
+    gap = np.abs(np.quantile(x, [0.05, 0.25, 0.5, 0.75, 0.95]) - np.quantile(2 * x + 1, [0.05, 0.25, 0.5, 0.75, 0.95])).max() / (x.max() - x.min())
+    assert compare.quantile_gap(df, other, "x").first()["gap"] == pytest.approx(gap, abs=1e-9)
