@@ -143,7 +143,7 @@ def quantile_gap(a: DataFrame, b: DataFrame, column: str, grid: tuple[float, ...
 
 def fidelity_numeric(a: DataFrame, b: DataFrame, columns: list[str]) -> DataFrame:
     """Points of numeric columns out of 70, scaled to 100: kind, nulls, cardinality, mean, spread, KS."""
-    pa, pb = numeric_profile(a, columns), numeric_profile(b, columns)
+    pa, pb = numeric_profile(a, columns, quantiles=False), numeric_profile(b, columns, quantiles=False)
     named = lambda p, s: p.select("column", *[F.col(c).alias(f"{c}_{s}") for c in ("rows", "nulls", "distinct", "mean", "sd")])
     both = named(pa, "a").join(named(pb, "b"), "column")
     gaps = None

@@ -61,3 +61,8 @@ def test_gap_keeps_no_values(many, no_percentile):
     other = df.withColumn("x", F.col("x") * 2 + 1)
     gap = np.abs(np.quantile(x, [0.05, 0.25, 0.5, 0.75, 0.95]) - np.quantile(2 * x + 1, [0.05, 0.25, 0.5, 0.75, 0.95])).max() / (x.max() - x.min())
     assert compare.quantile_gap(df, other, "x").first()["gap"] == pytest.approx(gap, abs=1e-9)
+
+
+def test_fidelity_keeps_no_values(many, no_percentile):
+    x, df = numbers(many)
+    assert compare.fidelity_numeric(df, df, ["x"]).first()["score"] == pytest.approx(100)
